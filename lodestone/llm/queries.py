@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, license_scan, mixing, token_output, toxicity
 
 
 def queries() -> dict:
     return {
-        "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op1_toxicity": toxicity.op1_toxicity,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_license_scan": license_scan.op9_license_scan,
+        "op10_token_output": token_output.op10_token_output,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op4_mix_sources": mixing.OP4_SQL}
+    return {
+        "op4_mix_sources": mixing.OP4_SQL,
+        "op7_exact_dedup": exact_dedup.OP7_SQL,
+    }
