@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, token_output, toxicity
+from . import exact_dedup, license_scan, mixing, packing, token_output, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_license_scan": license_scan.op9_license_scan,
