@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, packing, token_output, toxicity, warc
+from . import exact_dedup, license_scan, mixing, near_dedup, packing, token_output, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
         "op6_warc": warc.op6_warc,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_license_scan": license_scan.op9_license_scan,
