@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, near_dedup, packing, token_output, toxicity, warc
+from . import embedding_dedup, exact_dedup, license_scan, mixing, near_dedup, packing, token_output, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
         "op6_warc": warc.op6_warc,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_token_output": token_output.op10_token_output,
     }

@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import doc_columns, read_table
 from .textbuf import LOWER, buffers
@@ -154,7 +155,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             keep = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], found], names=[*[batch.schema.names[i] for i in keep], "__score"])
 
-    schema = docs.drop("__text").schema.add("__score", "double")
+    schema = T.StructType([*docs.drop("__text").schema.fields, T.StructField("__score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

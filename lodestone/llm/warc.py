@@ -159,7 +159,7 @@ def fetch(selected: DataFrame) -> DataFrame:
     """
     spark = selected.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = selected.withColumn("span", F.floor(F.col("offset") / READ_BYTES)).repartition(tasks, "file", "span").sortWithinPartitions("file", "offset").drop("span")
+    dealt = selected.withColumn("span", F.floor(F.col("offset") / READ_BYTES)).repartition(tasks, "file", "span").sortWithinPartitions("file", "offset").select(*[c.split()[0] for c in INDEX.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +176,7 @@ def fetch(selected: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.binary())], names=[*part.schema.names, "payload"])
                 i = j + 1
 
-    return dealt.mapInArrow(run, selected.schema.add("payload", "binary"))
+    return dealt.mapInArrow(run, f"{INDEX}, payload binary")
 
 
 def checked(index: DataFrame) -> DataFrame:
