@@ -1,19 +1,20 @@
 """Token ids as compressed binary files: static range asymmetric numeral systems.
 
-Documents are tokenised, ordered by identifier over range partitions, and each
-partition becomes one file of independent blocks.  A block holds whole
-documents (a very long one stands alone) and is coded by LANES interleaved
-coders that share one frequency table of the whole corpus.  Each block keeps
-its coders' checkpoints (final states and word counts), its documents' ids and
-lengths, and a checksum, so that any block decodes alone, in parallel.
-
-A file: MAGIC, blocks, footer (a block's offset, length, documents and ids
-each), footer length, MAGIC.  Numbers are little-endian.
-
-Every id below 2**SCALE_BITS / 2 can be coded: ids without a count get frequency
-1.  Defined cases: a null text counts as empty and yields the end id alone;
+Documents are ordered by identifier over range partitions; each partition is
+tokenised and becomes one file.  A file is a row of segments of about
+SEGMENT_IDS ids: a frequency table, then blocks of whole documents that share
+it (a very long document's block stands alone).  A block is coded by up to
+LANES interleaved coders and keeps their checkpoints (final states and the
+number of words), its documents' identifiers and lengths, and a checksum, so
+that any block decodes alone, in parallel.
+
+A file: MAGIC, segments, footer (per block: its own offset and length, its
+table's offset and length, documents, ids), footer length, MAGIC.  Numbers are
+little-endian.
+
+Defined cases: a null text counts as empty and yields the end id alone;
 documents are ordered by identifier (null first), repeated ones in the order of
-a hash of their ids; an empty table writes no file and reads as no rows.
+a hash of their texts; an empty table writes no file and reads as no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import doc_columns, fresh_path, read_table, stored
 from .files import read_range, store, write_whole
-from .textbuf import buffers
+from .textbuf import buffers, chunks
 from .tokenize import byte_encoder, default_path
 
 MAGIC = b"LODERANS"
@@ -39,14 +41,18 @@ END_ID = 2
 #: Ids that a block gathers before it is coded.
 BLOCK_IDS = 1 << 20
 LANES = 4096
+#: Ids that share a frequency table, about; also what a task holds at once.
+SEGMENT_IDS = 4 << 20
 _LOW = np.uint64(1 << 31)
+FOOTER = "<6Q"
+INDEX = "file string, part long, block long, offset long, length long, table_offset long, table_length long, n_docs long, n_ids long"
 
 
 def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
-    """Frequencies that sum to 2**bits, each at least 1, in proportion to the counts."""
+    """Frequencies that sum to 2**bits, each at least 1, in proportion to the counts (all above 0)."""
     total, n = 1 << bits, len(counts)
-    if not counts.sum():
-        counts = np.ones(n)
+    if n > total // 2:
+        raise ValueError("too many different ids for the table")
     freq = np.maximum(1, np.floor(counts * ((total - n) / counts.sum()))).astype(np.int64)
     order = np.argsort(-counts, kind="stable")
     short = total - int(freq.sum())
@@ -62,12 +68,37 @@ def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
 
 
 class Table:
-    """Frequencies, their running sums, and the id of each slot."""
-
-    def __init__(self, freq: np.ndarray):
-        self.freq = freq.astype(np.uint64)
-        self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+    """Frequencies of the ids that occur, their running sums, and the id of each slot."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray):
+        self.ids = ids.astype(np.uint32)
+        top = int(ids[-1]) + 1 if len(ids) else 1
+        self.freq, self.start = np.zeros(top, np.uint64), np.zeros(top, np.uint64)
+        self.freq[ids], self.start[ids] = freq, np.cumsum(freq) - freq
+        self.slot = np.repeat(self.ids, freq)
+
+    @classmethod
+    def of(cls, parts: list[np.ndarray]) -> Table:
+        counts = np.zeros(1, np.int64)
+        for part in parts:
+            own = np.bincount(part, minlength=len(counts))
+            own[: len(counts)] += counts
+            counts = own
+        ids = np.flatnonzero(counts)
+        return cls(ids, scaled(counts[ids]))
+
+    def to_bytes(self) -> bytes:
+        steps = np.diff(self.ids.astype(np.int64), prepend=0).astype("<u4")
+        body = zlib.compress(steps.tobytes() + self.freq[self.ids].astype("<u4").tobytes(), 6)
+        return struct.pack("<II", zlib.crc32(body), len(self.ids)) + body
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Table:
+        crc, n = struct.unpack_from("<II", raw)
+        if zlib.crc32(raw[8:]) != crc:
+            raise ValueError("a table's checksum is wrong")
+        both = np.frombuffer(zlib.decompress(raw[8:]), "<u4")
+        return cls(np.cumsum(both[:n]).astype(np.int64), both[n:].astype(np.int64))
 
 
 def encode(ids: np.ndarray, table: Table, lanes: int = LANES) -> bytes:
@@ -131,93 +162,69 @@ def unpack_block(block: bytes, table: Table) -> tuple[list, np.ndarray, np.ndarr
     return [None if z else int(d) for z, d in zip(null, known)], lengths, decode(block[8 + 17 * n :], table)
 
 
-def token_rows(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit), n_tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_encoder(path)
-        for batch in batches:
-            ids, counts = encoder.encode(*buffers(batch.column("text")))
-            ends = np.cumsum(counts)
-            tail = b"" if end_id is None else struct.pack("<I", end_id)
-            out = [ids[e - n : e].tobytes() + tail for e, n in zip(ends, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), pa.array(counts + len(tail) // 4, pa.int64())], names=["doc_id", "ids", "n_tokens"])
-
-    return doc_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
-
-
-def frequencies(tokens: DataFrame) -> np.ndarray:
-    """Counts of all ids over the whole corpus; the result is bounded by the vocabulary."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            buf, _ = buffers(batch.column("ids"))
-            own = np.bincount(np.frombuffer(buf.tobytes(), "<u4"))
-            if len(own) > len(total):
-                own[: len(total)] += total
-                total = own
-            else:
-                total[: len(own)] += own
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    found = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
-    counts[found["id"].to_numpy()] = found["n"].to_numpy()
-    return counts
-
-
-def write(docs: DataFrame, out_dir: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Writes the files; returns their index (file, part, block, offset, length, n_docs, n_ids) and the frequencies."""
+def _segment(docs: list[tuple[int | None, np.ndarray]], at: int, index: list[tuple]) -> Iterator[bytes]:
+    """A table and the blocks that share it; notes each block in the index."""
+    table = Table.of([ids for _, ids in docs])
+    raw = table.to_bytes()
+    table_at, at = at, at + len(raw)
+    yield raw
+    lo = 0
+    while lo < len(docs):
+        hi, held = lo, 0
+        while hi < len(docs) and held < BLOCK_IDS:
+            held += len(docs[hi][1])
+            hi += 1
+        block = pack_block([d for d, _ in docs[lo:hi]], np.array([len(x) for _, x in docs[lo:hi]]), np.concatenate([x for _, x in docs[lo:hi]]), table)
+        index.append((at, len(block), table_at, len(raw), hi - lo, held))
+        yield block
+        lo, at = hi, at + len(block)
+
+
+def write(docs: DataFrame, out_dir: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokenises and writes the files; returns their index, a row per block."""
+    path = path or default_path("byte_bpe_50k.json")
     spark = docs.sparkSession
-    tokens = stored(token_rows(docs, path or default_path("byte_bpe_50k.json"), END_ID, id_col, text_col), "tokens")
-    freq = scaled(frequencies(tokens))
-    shared = spark.sparkContext.broadcast(freq)  # bounded by the vocabulary
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = doc_columns(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table, part = Table(shared.value), TaskContext.get().partitionId()
+        encoder, part, end = byte_encoder(path), TaskContext.get().partitionId(), np.array([end_id], np.uint32)
         uri, index = f"{out_dir}/ids-{part:06d}.rans", []
 
-        def blocks():
-            at, docs_, chunks_, lens, held = len(MAGIC), [], [], [], 0
+        def content(batches):
+            at, docs_, held = len(MAGIC), [], 0
             yield MAGIC
             for batch in batches:
-                buf, offsets = buffers(batch.column("ids"))
-                for i, d in enumerate(batch.column("doc_id").to_pylist()):
-                    docs_.append(d)
-                    chunks_.append(np.frombuffer(buf[offsets[i] : offsets[i + 1]].tobytes(), "<u4"))
-                    lens.append(len(chunks_[-1]))
-                    held += lens[-1]
-                    if held >= BLOCK_IDS:
-                        block = pack_block(docs_, np.array(lens), np.concatenate(chunks_), table)
-                        index.append((at, len(block), len(docs_), held))
-                        yield block
-                        at, docs_, chunks_, lens, held = at + len(block), [], [], [], 0
+                buf, offsets = buffers(batch.column("text"))
+                names = batch.column("doc_id").to_pylist()
+                for lo, hi in chunks(offsets):
+                    ids, counts = encoder.encode(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                    ends = np.cumsum(counts)
+                    for name, e, n in zip(names[lo:hi], ends, counts):
+                        docs_.append((name, np.concatenate([ids[e - n : e], end])))
+                        held += n + 1
+                    if held >= SEGMENT_IDS:
+                        for piece in _segment(docs_, at, index):
+                            at += len(piece)
+                            yield piece
+                        docs_, held = [], 0
             if docs_:
-                block = pack_block(docs_, np.array(lens), np.concatenate(chunks_), table)
-                index.append((at, len(block), len(docs_), held))
-                yield block
-            footer = b"".join(struct.pack("<4Q", *x) for x in index)
+                yield from _segment(docs_, at, index)
+            footer = b"".join(struct.pack(FOOTER, *x) for x in index)
             yield footer + struct.pack("<Q", len(footer)) + MAGIC
 
         first = next(batches, None)
         if first is not None:
-            rest = batches
-            batches = (b for b in _chain(first, rest))
-            write_whole(uri, blocks())
-        columns = list(zip(*index)) or [()] * 4
+            write_whole(uri, content(_chain(first, batches)))
+        columns = list(zip(*index)) or [()] * 6
         yield pa.RecordBatch.from_arrays(
-            [pa.array([uri] * len(index), pa.string()), pa.array([part] * len(index), pa.int64()), pa.array(range(len(index)), pa.int64()), *[pa.array(c, pa.int64()) for c in columns]],
-            names=["file", "part", "block", "offset", "length", "n_docs", "n_ids"],
+            [pa.array([uri] * len(index), pa.string()), pa.array([part] * len(index), pa.int64()), pa.array(range(len(index)), pa.int64()), *[pa.array(c, pa.int64()) for c in columns]], names=[c.split()[0] for c in INDEX.split(", ")]
         )
 
-    index = ordered.select("doc_id", "ids").mapInArrow(run, "file string, part long, block long, offset long, length long, n_docs long, n_ids long")
-    return stored(index, "index"), freq
+    return stored(ordered.mapInArrow(run, INDEX), "index")
 
 
 def _chain(first, rest):
@@ -225,8 +232,8 @@ def _chain(first, rest):
     yield from rest
 
 
-def read_footer(uri: str) -> list[tuple[int, int, int, int]]:
-    """Blocks of a file, from the file alone: offset, length, documents, ids."""
+def read_footer(uri: str) -> list[tuple[int, ...]]:
+    """Blocks of a file, from the file alone: offset, length, table_offset, table_length, n_docs, n_ids."""
     system, path = store(uri)
     with system.open_input_file(path) as f:
         end = f.size()
@@ -234,37 +241,52 @@ def read_footer(uri: str) -> list[tuple[int, int, int, int]]:
         if magic != MAGIC:
             raise ValueError(f"{uri} isn't a file of this format")
         footer = f.read_at(size, end - 16 - size)
-    return [struct.unpack_from("<4Q", footer, i) for i in range(0, size, 32)]
+    return list(struct.iter_unpack(FOOTER, footer))
+
+
+def open_index(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The index of a folder of files, from their footers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column("path").to_pylist():
+                part = int(uri.rpartition("-")[2].partition(".")[0])
+                rows = [(uri, part, k, *x) for k, x in enumerate(read_footer(uri))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] + [pa.int64()] * 8)], names=[c.split()[0] for c in INDEX.split(", ")])
 
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(out_dir).select("path")
+    return files.mapInArrow(run, INDEX)
 
-def read(index: DataFrame, freq: np.ndarray) -> DataFrame:
-    """Decodes all blocks, each by itself: doc_id, start, n_tokens, ids_crc32."""
+
+def read(index: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Decodes all blocks, each by itself: doc_id, start, n_tokens, ids_crc32 (and ids, little-endian unsigned 32-bit)."""
     spark = index.sparkSession
-    shared = spark.sparkContext.broadcast(freq)
-    # ids before each block: sums over parts first, then inside each part
-    parts = index.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
-    parts = parts.select("part", "part_ids").toPandas().sort_values("part")  # a row per file
+    # ids before each block: sums over files first (a row per file), then inside each file
+    parts = index.groupBy("part").agg(F.sum("n_ids").alias("part_ids")).toPandas().sort_values("part")
     before = pd.DataFrame({"part": parts["part"], "part_start": parts["part_ids"].cumsum() - parts["part_ids"]})
-    starts = spark.createDataFrame(before, "part long, part_start long")
-    from pyspark.sql import Window
-
-    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = index.withColumn("inside", inside).join(starts, "part").select("file", "offset", "length", (F.col("part_start") + F.col("inside")).alias("start"))
+    starts = spark.createDataFrame(before.astype("int64"), "part long, part_start long")
+    inside = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = index.withColumn("inside", inside).join(starts, "part").withColumn("start", F.col("part_start") + F.col("inside"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(shared.value)
+        held, table = None, None
         for batch in batches:
             for row in batch.to_pylist():
+                if held != (row["file"], row["table_offset"]):
+                    held, table = (row["file"], row["table_offset"]), Table.from_bytes(read_range(row["file"], row["table_offset"], row["table_length"]))
                 doc_ids, lengths, ids = unpack_block(read_range(row["file"], row["offset"], row["length"]), table)
                 ends = np.cumsum(lengths)
                 raw = ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends, lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(row["start"] + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                own = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends, lengths)]
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(row["start"] + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(own, pa.binary())] if with_ids else []), names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(tasks, "file", "offset").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    dealt = placed.repartition(tasks, "file", "table_offset").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op10_token_output(spark, sf_dir: str) -> DataFrame:
-    index, freq = write(read_table(spark, sf_dir, "documents"), fresh_path(spark, "rans"))
-    return read(index, freq)
+    out_dir = fresh_path(spark, "rans")
+    write(read_table(spark, sf_dir, "documents"), out_dir)
+    return read(open_index(spark, out_dir))

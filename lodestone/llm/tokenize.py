@@ -18,7 +18,7 @@ import numpy as np
 from .textbuf import LOWER, chunks, run_hashes
 
 #: Pieces kept per worker; the cache starts afresh beyond it (results don't change).
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 600_000
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _UNUSUAL = range(5)
 _CLASS = np.full(256, _UNUSUAL, dtype=np.uint8)
