@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, license_scan, mixing, near_dedup, packing, token_output, toxicity, warc
+from . import embedding_dedup, exact_dedup, license_scan, mixing, near_dedup, packing, suffix_dedup, token_output, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
