@@ -147,6 +147,12 @@ class Engine:
 class _Loose(Model):
     """A model that lends a table query its scopes, and nothing else: names are columns, all columns are read."""
 
+    mark: str | None = None
+
+    @property
+    def deleted(self) -> str | None:
+        return self.mark
+
     def column(self, name: str) -> str:
         return name
 
@@ -162,6 +168,5 @@ class _Loose(Model):
 def _scopes_only(model: Model) -> Model:
     out = _Loose(model.table, connection=model.connection)
     out.tenant, out.shard = tuple(model.column(t) for t in model.tenant), model.shard
-    out._deleted = model.deleted
-    type(out).deleted = property(lambda self: getattr(self, "_deleted", None))
+    out.mark = model.deleted
     return out

@@ -76,15 +76,15 @@ def with_timeout(spark: SparkSession, run: Callable[[], Any], seconds: float | N
     """Runs an action; its jobs are cancelled after so many seconds."""
     if seconds is None:
         return run()
-    tag = f"timeout-{threading.get_ident()}-{time.monotonic_ns()}"
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
-    spark.addTag(tag)
+    context, tag = spark.sparkContext, f"timeout-{threading.get_ident()}-{time.monotonic_ns()}"
+    timer = threading.Timer(seconds, lambda: context.cancelJobsWithTag(tag))
+    context.addJobTag(tag)
     timer.start()
     try:
         return run()
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def serialize(value: Any, model: Model | None = None, only: tuple[str, ...] = (), omit: tuple[str, ...] = ()) -> Any:
