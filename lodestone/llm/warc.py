@@ -1,127 +1,145 @@
-"""WARC archives: written by Spark's text writer, indexed, and read by coalesced byte ranges.
+"""WARC archives: one gzip member per record, indexed first, read by coalesced byte ranges.
 
-Writing: a record is one string whose end is the separator that WARC demands
-(two line ends), so Spark's own text writer, with that separator and one folder
-per shard, makes standard archives on any file system with its commit protocol.
+Writing: each task writes its records to one archive, every record a gzip
+member of its own, under a temporary name that a rename makes final.
 
 Reading: an index is made first, a row per record (file, offset, length, URL,
-digest and the other headers), by walking each file's headers and stepping
-over the payloads.  Selected records are then fetched by byte ranges: sorted by
-file and offset, ranges with small gaps between them are fetched in one read.
+digest and the other headers), by walking each file from member to member.
+Selected records are then fetched by byte ranges: sorted by file and offset,
+ranges with small gaps between them are fetched in one read.
 
 Of records with equal payloads of at least LEAST_BYTES bytes the one with the
 largest identifier holds the payload; the others are revisit records.
 
 Defined cases: a null payload counts as empty, a null URL as an empty one; line
 ends in a URL are escaped; equal payloads below LEAST_BYTES are all responses;
-repeated rows (same identifier, same payload) make one response and revisits to
-it; a null identifier ranks below all others and is written as "-"; an empty
-table writes no archive and reads as no rows.
+of repeated rows (same identifier, same payload) the one with the largest URL,
+or one of identical rows, is the response; a null identifier ranks below all
+others and is written as "-"; an empty table writes no archive and reads as no
+rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from .common import fresh_path, read_table, stored
-from .files import read_range, store
+from .files import read_range, store, write_whole
 
 LEAST_BYTES = 1000
 #: A group of equal payloads is matched to its response in salts of this many records.
 SALT_ROWS = 2_000
-#: Bytes of an archive, about.
-FILE_BYTES = 64 << 20
 #: Ranges this close are fetched together, up to READ_BYTES.
 GAP_BYTES = 64 << 10
-READ_BYTES = 8 << 20
-_WALK_BYTES = 1 << 20
-_END = "\r\n\r\n"
+READ_BYTES = 4 << 20
+_WALK_BYTES = 1 << 17
+#: A record's headers are looked for in so many bytes.
+_HEAD_BYTES = 1 << 16
 _DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-INDEX = "file string, offset long, length long, payload_offset long, payload_length long, record_type string, url string, payload_digest string, page string, refers_to string, payload_bytes long"
+INDEX = "file string, offset long, length long, record_type string, url string, payload_digest string, page string, refers_to string"
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """A row per page: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    light = rows.select("page_id", "payload_bytes", "payload_digest")
-    # every page that shares its payload, with the page that holds it
-    shared = light.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest", "page_id").agg(F.count("*").alias("same"))
-    groups = shared.groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.sum("same").alias("n")).where("n > 1")
-    shared = shared.join(groups, "payload_digest").select("payload_digest", "page_id", "first_id", "same")
-    marked = rows.join(shared.withColumnRenamed("page_id", "shared_id").withColumnRenamed("payload_digest", "shared_digest"), F.col("page_id").eqNullSafe(F.col("shared_id")) & (F.col("payload_digest") == F.col("shared_digest")), "left")
-    first = F.col("page_id").eqNullSafe(F.col("first_id"))
-    # of rows repeated with their identifier, one at most holds the payload
-    repeated = marked.where(first & (F.col("same") > 1))
-    number = F.row_number().over(W.partitionBy("payload_digest", "page_id").orderBy("url"))
-    rest = marked.where(F.coalesce(~(first & (F.col("same") > 1)), F.lit(True))).withColumn("number", F.lit(1))
-    both = rest.unionByName(repeated.withColumn("number", number))
-    holds = F.col("same").isNull() | (F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("number") == 1))
-    return both.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(holds, "response").otherwise("revisit").alias("record_type"), F.when(~holds, F.col("first_id")).alias("refers_to"))
-
-
-def _record(row: dict[str, Column]) -> Column:
-    """The text of one record, without the separator that the writer adds."""
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("-")), F.lit(">"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), row["payload_bytes"].cast("string"), F.lit("\r\n\r\n"))
+    light = rows.select("page_id", "url", "payload_bytes", "payload_digest")
+    # pages that share their payload, with the page that holds it
+    shared = light.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest", "page_id", "url").agg(F.count("*").alias("same"))
+    groups = shared.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("first"), F.sum("same").alias("n")).where("n > 1")
+    shared = shared.join(groups, "payload_digest").select(F.col("payload_digest").alias("d"), F.col("page_id").alias("p"), F.col("url").alias("u"), "first", "same")
+    match = (F.col("payload_digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")) & (F.col("url") == F.col("u"))
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("url") == F.col("first.url"))
+    marked = rows.join(shared, match, "left").withColumn("holds", F.col("d").isNull() | is_first)
+    again = shared.where(F.col("p").eqNullSafe(F.col("first.page_id")) & (F.col("u") == F.col("first.url")) & (F.col("same") > 1))
+    if not again.isEmpty():  # identical rows: one of them holds the payload
+        several = F.coalesce(is_first & (F.col("same") > 1), F.lit(False))
+        number = F.row_number().over(W.partitionBy("payload_digest", "page_id", "url").orderBy(F.lit(1)))
+        marked = marked.where(~several).unionByName(marked.where(several).withColumn("holds", number == 1))
+    return marked.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("holds"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("holds"), F.col("first.page_id")).alias("refers_to"))
+
+
+def _member(row: dict) -> bytes:
+    """One record as a gzip member."""
+    name = lambda v: f"<urn:page:{'-' if v is None else v}>"
     held = row["record_type"] == "response"
-    block = F.when(held, F.concat(http, row["payload"])).otherwise(http)
-    url = F.regexp_replace(row["url"], r"[\r\n]", "%0A")
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), row["record_type"], F.lit("\r\nWARC-Record-ID: "), name(row["page_id"]), F.lit(f"\r\nWARC-Date: {_DATE}\r\nWARC-Target-URI: "), url,
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), row["payload_digest"], F.lit("\r\nContent-Type: application/http; msgtype=response"),
-        F.when(held, "").otherwise(F.concat(F.lit(f"\r\nWARC-Profile: {_PROFILE}\r\nWARC-Refers-To: "), name(row["refers_to"]))),
-        F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
-    )
-    return F.concat(head, block)
-
-
-def write(pages: DataFrame, out_dir: str, shards: int | None = None, **columns: str) -> str:
-    """Writes the archives, one folder per shard; returns out_dir."""
-    rows = records(pages, **columns)
-    shards = shards or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    record = _record({c: F.col(c) for c in rows.columns})
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.lit(shards)).alias("shard")
-    rows.select(record.alias("value"), shard).repartition(shards, "shard").write.partitionBy("shard").option("lineSep", _END).text(out_dir)
-    return out_dir
-
-
-def _listing(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Files of the archives, without their content."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out_dir).select("path", "length")
-
-
-def _walk(f, size: int) -> Iterator[tuple]:
-    """Headers of all records of one open file: offset, length, headers."""
-    at, window, base = 0, b"", 0
-    while at < size:
-        want = 8192
-        while True:  # until the headers' end is in sight
-            if not (base <= at and at + want <= base + len(window)) and base + len(window) < size or at < base:
-                base, window = at, f.read_at(min(max(want, _WALK_BYTES), size - at), at)
-            head = window[at - base : at - base + want]
-            end = head.find(b"\r\n\r\n")
-            if end >= 0 or at + want >= size:
-                break
-            want *= 4
-        if end < 0 or not head.startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        lines = head[:end].decode("utf-8").split("\r\n")
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        length = end + 4 + int(headers["content-length"])
-        http = window[at - base + end + 4 : at - base + end + 4 + 4096]
-        if len(http) < min(4096, length - end - 4):
-            http = f.read_at(min(4096, length - end - 4), at + end + 4)
-        yield at, length, end + 4, headers, http
-        at += length + 4
+    payload = row["payload"].encode("utf-8") if held else b""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode() + payload
+    url = row["url"].replace("\r", "%0D").replace("\n", "%0A")
+    head = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {name(row['page_id'])}", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{row['payload_digest']}", "Content-Type: application/http; msgtype=response"]
+    head += [] if held else [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {name(row['refers_to'])}"]
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode("utf-8") + block + b"\r\n\r\n") + pack.flush()
+
+
+def write(pages: DataFrame, out_dir: str, **columns: str) -> int:
+    """Writes the archives; returns the number of records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n = 0
+
+        def members(first: pa.RecordBatch) -> Iterator[bytes]:
+            nonlocal n
+            while first is not None:
+                for lo in range(0, len(first), 64):
+                    for row in first.slice(lo, 64).to_pylist():
+                        n += 1
+                        yield _member(row)
+                first = next(batches, None)
+
+        first = next((b for b in batches if len(b)), None)
+        if first is not None:
+            write_whole(f"{out_dir}/records-{TaskContext.get().partitionId():06d}.warc.gz", members(first))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return records(pages, **columns).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _walk(f, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """All members of one open file: offset, length, the first bytes of the record."""
+    begin, at = 0, 0
+    unpack, head = zlib.decompressobj(31), b""
+    raw = b""
+    while at < size or raw:
+        if not raw:
+            raw = f.read_at(min(_WALK_BYTES, size - at), at)
+            at += len(raw)
+        out = unpack.decompress(raw)
+        head += out[: _HEAD_BYTES - len(head)]
+        raw = b""
+        if unpack.eof:
+            end = at - len(unpack.unused_data)
+            yield begin, end - begin, head
+            raw, begin = unpack.unused_data, end
+            unpack, head = zlib.decompressobj(31), b""
+    if begin != size:
+        raise ValueError("the archive ends inside a record")
+
+
+def _headers(head: bytes) -> dict[str, str]:
+    end = head.find(b"\r\n\r\n")
+    if end < 0 or not head.startswith(b"WARC/"):
+        raise ValueError("not a WARC record")
+    return {k.lower(): v for k, _, v in (x.partition(": ") for x in head[:end].decode("utf-8").split("\r\n")[1:])}
+
+
+def payload_of(member: bytes) -> bytes:
+    """The HTTP payload of a response record."""
+    record = zlib.decompress(member, 31)
+    skip = record.find(b"\r\n\r\n") + 4
+    block = record[skip : skip + int(_headers(record)["content-length"])]
+    return block[block.find(b"\r\n\r\n") + 4 :]
 
 
 def build_index(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -130,23 +148,22 @@ def build_index(spark: SparkSession, out_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in INDEX.split(", ")]
         kinds = [pa.int64() if c.endswith("long") else pa.string() for c in INDEX.split(", ")]
+        name = lambda v: None if v is None else v.removeprefix("<urn:page:").removesuffix(">")
         for batch in batches:
             for uri, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
                 system, path = store(uri)
                 with system.open_input_file(path) as f:
                     rows: list[tuple] = []
-                    for at, length, skip, h, http in _walk(f, size):
-                        inner = http.find(b"\r\n\r\n") + 4
-                        told = [x for x in http[:inner].decode("utf-8", "replace").split("\r\n") if x.lower().startswith("content-length: ")]
-                        name = lambda v: None if v is None else v.removeprefix("<urn:page:").removesuffix(">")
-                        rows.append((uri, at, length, at + skip + inner, length - skip - inner, h["warc-type"], h.get("warc-target-uri", ""), h.get("warc-payload-digest", "").removeprefix("sha1:"), name(h["warc-record-id"]), name(h.get("warc-refers-to")), int(told[0].split(": ")[1]) if told else None))
+                    for at, length, head in _walk(f, size):
+                        h = _headers(head)
+                        rows.append((uri, at, length, h["warc-type"], h.get("warc-target-uri", ""), h.get("warc-payload-digest", "").removeprefix("sha1:"), name(h["warc-record-id"]), name(h.get("warc-refers-to"))))
                         if len(rows) >= 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                             rows = []
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    files = _listing(spark, out_dir)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(out_dir).select("path", "length")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return stored(files.repartition(tasks, "path").mapInArrow(run, INDEX), "index")
 
@@ -166,12 +183,12 @@ def fetch(selected: DataFrame) -> DataFrame:
             rows = batch.to_pylist()
             i = 0
             while i < len(rows):
-                j, begin, end = i, rows[i]["payload_offset"], rows[i]["payload_offset"] + rows[i]["payload_length"]
-                while j + 1 < len(rows) and rows[j + 1]["file"] == rows[i]["file"] and rows[j + 1]["payload_offset"] - end <= GAP_BYTES and rows[j + 1]["payload_offset"] + rows[j + 1]["payload_length"] - begin <= READ_BYTES:
+                j, begin, end = i, rows[i]["offset"], rows[i]["offset"] + rows[i]["length"]
+                while j + 1 < len(rows) and rows[j + 1]["file"] == rows[i]["file"] and rows[j + 1]["offset"] - end <= GAP_BYTES and rows[j + 1]["offset"] + rows[j + 1]["length"] - begin <= READ_BYTES:
                     j += 1
-                    end = rows[j]["payload_offset"] + rows[j]["payload_length"]
+                    end = rows[j]["offset"] + rows[j]["length"]
                 raw = read_range(rows[i]["file"], begin, end - begin)
-                own = [raw[r["payload_offset"] - begin : r["payload_offset"] - begin + r["payload_length"]] for r in rows[i : j + 1]]
+                own = [payload_of(raw[r["offset"] - begin : r["offset"] - begin + r["length"]]) for r in rows[i : j + 1]]
                 part = batch.slice(i, j + 1 - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.binary())], names=[*part.schema.names, "payload"])
                 i = j + 1
@@ -209,7 +226,9 @@ def checked(index: DataFrame) -> DataFrame:
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    out_dir = write(read_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    out_dir = fresh_path(spark, "warc")
+    if not write(read_table(spark, sf_dir, "pages"), out_dir):
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return checked(build_index(spark, out_dir)).drop("url")
 
 
