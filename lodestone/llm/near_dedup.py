@@ -10,10 +10,11 @@ candidates; a link is a pair whose exact Jaccard similarity of shingle sets is
 at least the threshold.
 
 Documents with the same shingles are one node.  In a bucket every node is
-verified against one centre, drawn anew per band; only where a bucket still
-holds several components are the pairs across components verified too, in
-blocks.  So no link that a bucket proposes is lost, and pairs inside a
-component, which can't change the classes, are never made.
+verified against one centre, drawn anew per band.  Only where a bucket still
+holds several components are nodes of different components compared too: as
+pairs in small buckets, and in large ones inside tasks, block against block,
+which return a spanning set of links.  So no link that a bucket proposes is
+lost, and all pairs of a large group are never made as rows.
 
 Defined cases: a null text counts as empty; a text without words is a class of
 its own; a text of one to four words has one shingle, of all its words; words
@@ -24,6 +25,7 @@ its first row; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,10 @@ from .textbuf import buffers, chunks, mix, powers, shingles, words
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
-#: Nodes of a block when the pairs across components are made.
-BLOCK = 64
+#: Nodes of a bucket whose pairs across components are made as rows.
+SMALL = 32
+#: Nodes of a block of a larger bucket.
+BLOCK = 256
 _ELEMENT_BITS = 44
 
 
@@ -115,10 +119,8 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "rid long, elements binary")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity reaches the threshold."""
-    ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    sets = stored(_sets(rows.join(ids, "rid", "left_semi"), size), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity reaches the threshold; sets: rid, elements."""
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("elements").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +136,68 @@ def verified(pairs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, si
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sets reach the similarity; common elements are counted by products of 0-1 tables."""
+    sizes = [np.array([len(x) for x in side], np.float32) for side in (left, right)]
+    known, code = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    rows = np.concatenate([np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)])
+    cut = int(sizes[0].sum())
+    common = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(known), 8192):
+        tables = []
+        for side, span in ((left, slice(0, cut)), (right, slice(cut, None))):
+            inside = (code[span] >= low) & (code[span] < low + 8192)
+            table = np.zeros((len(side), min(8192, len(known) - low)), np.float32)
+            table[rows[span][inside], code[span][inside] - low] = 1
+            tables.append(table)
+        common += tables[0] @ tables[1].T
+    return common >= np.float32(threshold - 1e-6) * (sizes[0][:, None] + sizes[1][None, :] - common)
+
+
+def _blocks_compared(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join components, of sorted rows: band, key, lower, upper, side, node, component, elements."""
+
+    def links(rows: list[dict]) -> Iterator[tuple[int, int]]:
+        left = [r for r in rows if r["side"] == 0]
+        right = [r for r in rows if r["side"] == 1] if rows[0]["lower"] != rows[0]["upper"] else left
+        if not left or not right:
+            return
+        sets = [[np.frombuffer(r["elements"], np.uint64) for r in side] for side in (left, right)]
+        ids, parts = ([np.array([r[c] for r in side]) for side in (left, right)] for c in ("node", "component"))
+        mask = similar(*sets, threshold) & (parts[0][:, None] != parts[1][None, :])
+        p, q = np.nonzero(mask)
+        a, b = ids[0].copy(), ids[1].copy()
+        while True:  # the smallest node that is reachable inside the two blocks
+            a2, b2 = a.copy(), b.copy()
+            np.minimum.at(a2, p, b[q])
+            np.minimum.at(b2, q, a2[p])
+            if (a2 == a).all() and (b2 == b).all():
+                break
+            a, b = a2, b2
+        for side, root in ((0, a), (1, b)):
+            for i in np.flatnonzero(root != ids[side]):
+                yield int(ids[side][i]), int(root[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = ("band", "key", "lower", "upper"), []
+
+        def flush() -> pa.RecordBatch:
+            found = list(zip(*links(held))) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                for row in batch.slice(lo, 256).to_pylist():
+                    if held and any(held[0][k] != row[k] for k in key):
+                        yield flush()
+                        held = []
+                    held.append(row)
+        if held:
+            yield flush()
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
 def with_row_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """rid, doc_id, text; whether rid is doc_id itself (it is where identifiers are unique and not null)."""
     rows = doc_columns(docs, id_col, text_col)
@@ -160,25 +224,34 @@ def _classes(rows: DataFrame, unique: bool, threshold: float, size: int, bands:
     near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold  # noqa: E731  sizes that allow the similarity
     pairs = members.where((F.col("node") != F.col("centre")) & near(F.col("n"), F.col("centre_n"))).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     pairs = stored(pairs, "pairs")
-    texts = rows.select("rid", "text")
-    links = stored(verified(pairs, texts, threshold, size), "links")
+    # the sets of all nodes that share a bucket, from one shuffle of texts at any size
+    chosen = members.select(F.col("node").alias("rid")).distinct()
+    sets = stored(_sets(rows.select("rid", "text").join(chosen.hint("merge"), "rid", "left_semi"), size), "sets")
+    links = stored(verified(pairs, sets, threshold), "links")
     found = components(links)
 
     # buckets that still hold several components
     placed = members.join(found.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("band", "key", "members", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
-    blocks = placed.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)))
-    blocks = stored(blocks.groupBy("band", "key", "block").agg(F.collect_list(F.struct("component", "node", "n")).alias("nodes")), "blocks")
-    left, right = blocks.alias("l"), blocks.alias("r")
-    facing = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block"))).select(F.col("l.nodes").alias("x"), F.col("r.nodes").alias("y"))
-    one = facing.select(F.explode("x").alias("x"), "y")
-    across = lambda y: (y["component"] != F.col("x.component")) & near(y["n"], F.col("x.n"))
-    apart = one.select("x", F.explode(F.filter("y", across)).alias("y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = stored(apart.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = stored(verified(rest, texts, threshold, size), "links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    placed = stored(placed.join(mixed, ["band", "key"]), "mixed")
+    few, many = placed.where(F.col("members") <= SMALL), placed.where(F.col("members") > SMALL)
+    left, right = few.alias("l"), few.alias("r")
+    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))
+    apart = left.join(right, same & (F.col("l.component") != F.col("r.component")) & near(F.col("l.n"), F.col("r.n")))
+    rest = stored(apart.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = [stored(verified(rest, sets, threshold), "links")] if not rest.isEmpty() else []
+    if not many.isEmpty():
+        last = F.ceil(F.col("members") / BLOCK).cast("int") - 1
+        own = F.pmod(F.xxhash64("node"), last + 1).cast("int")
+        dealt = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        dealt = dealt.select("band", "key", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component")
+        order = ["band", "key", "lower", "upper"]
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = dealt.join(sets.withColumnRenamed("rid", "node"), "node").select(*order, "side", "node", "component", "elements").repartition(tasks, *order).sortWithinPartitions(*order, "side")
+        more.append(stored(_blocks_compared(blocks, threshold), "links"))
+    more = [m for m in more if not m.isEmpty()]
+    if more:
+        found = components(functools.reduce(DataFrame.unionByName, more, links))
 
     named = nodes.select("set1", "set2", "n", "node").join(found.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("set1", "set2", "n", F.coalesce("component", "node").alias("class_rid"))
     judged = sigs.where("n > 0").join(named, ["set1", "set2", "n"]).select("rid", "class_rid").unionByName(sigs.where("n = 0").select("rid", F.col("rid").alias("class_rid")))
