@@ -34,8 +34,8 @@ class Retention:
             return table.withColumn("__gone", F.lit(True))
         if not self.scope:
             # the key of the last row that stays: a top-n, not a sort of all rows in one task
-            least = table.select(F.col(self.key).alias("__k")).orderBy(F.col("__k").desc()).limit(self.keep_last).agg(F.min("__k").alias("__least"))
-            return table.crossJoin(F.broadcast(least)).withColumn("__gone", (F.col(self.key) < F.col("__least")) | self._old()).drop("__least")  # one row
+            least = table.select(F.col(self.key).alias("__k")).orderBy(F.col("__k").desc()).limit(self.keep_last).agg(F.min("__k"))
+            return table.withColumn("__gone", (F.col(self.key) < least.scalar()) | self._old())
         rank = F.row_number().over(W.partitionBy(*self.scope).orderBy(F.col(self.key).desc()))
         return table.withColumn("__gone", (rank > self.keep_last) | self._old())
 
