@@ -22,10 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stored
 
 SEED = "mix-1"
-#: Parts of the first pre-aggregation, so that a source of any size is summed by many tasks.
+#: Numbers in all sources' distributions together up to which their table is broadcast (4 MB).
+BROADCAST_NUMBERS = 500_000
+#: Parts of each source in the join that takes the broadcast's place beyond that.
+SALTS = 64
 _HEX = 13  # hexadecimal digits of md5 that make a uniform number: 52 bits, exact in a double
 
 
@@ -68,7 +71,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, out_chars: int
     """The columns of docs, then __copy (from 1), __copies, __rate and __order; rows in shuffled order."""
     per_source = rates(docs, weights, out_chars, source_col, text_col)
     per_source = per_source.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), cumulative(F.col("rate")).alias("__cumulative"))
-    joined = docs.join(per_source, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source")))
+    per_source = stored(per_source, "rates")
+    numbers = per_source.agg(F.sum(F.size("__cumulative") + 2)).first()[0] or 0
+    of_source = F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source"))
+    if numbers <= BROADCAST_NUMBERS:
+        joined = docs.join(F.broadcast(per_source), of_source)
+    else:  # a source of any size is dealt over its parts
+        own = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.lit(SALTS)).cast("int")
+        parts_of = per_source.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.withColumn("__own", own).join(parts_of, of_source & (F.col("__own") == F.col("__part"))).drop("__own", "__part")
     u = uniform(seed + "-count", F.col(f"`{id_col}`"))
     copies = F.size(F.filter(F.col("__cumulative"), lambda c: F.col("__u") >= c))
     counted = joined.withColumn("__u", u).withColumn("__copies", copies).where("__copies > 0")
