@@ -192,7 +192,8 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_i
     spark = docs.sparkSession
     rows, unique = with_row_ids(docs, id_col, text_col)
     kept = stored(positions(rows.select("rid", "text"), least), "suffixes")
-    shared = kept.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("key")
+    # written, so that both sides of the join are dealt by it alone: a key of very many positions can then be split
+    shared = stored(kept.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("key"), "keys")
     # a document's positions are bounded by its own length
     places = kept.join(shared, "key", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("places"))
     suffixes = stored(_suffixes(rows.select("rid", "text").join(places, "rid"), GRAM), "suffixes")
