@@ -48,7 +48,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = doc_columns(docs, id_col, text_col)
     runs = flush_runs(docs, id_col=id_col, text_col=text_col)
-    index = compact(runs, keep)
+    index = stored(compact(runs, keep), "index")
 
     # A digest seen once is its own group; the others are hits, whose bytes are verified.
     single = index.where("n_rows = 1").select(F.col("keep_id").alias("doc_id"), "keep_id", F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
@@ -59,11 +59,10 @@ def exact_dedup(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
     # Rows whose bytes differ from the kept row's (a digest collision) are grouped by the text itself.
     best = F.min("doc_id") if keep == "min" else F.max("doc_id")
     apart = F.when(~F.col("same"), F.col("text"))
-    sizes = checked.groupBy("digest", "doc_id", apart.alias("other_text")).agg(F.count("*").alias("n"))
-    totals = sizes.groupBy("digest", "other_text").agg(best.alias("keep_id"), F.sum("n").alias("group_size"))
-    salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    left = sizes.join(groups.select("digest", F.col("salts").alias("most")), "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("most")).cast("int"))
-    right = totals.join(groups.select("digest", F.col("salts").alias("most")), "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("most") - 1))).drop("most")
+    sizes = checked.groupBy("digest", "salts", "doc_id", apart.alias("other_text")).agg(F.count("*").alias("n"))
+    totals = sizes.groupBy("digest", "salts", "other_text").agg(best.alias("keep_id"), F.sum("n").alias("group_size"))
+    left = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    right = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     found = left.alias("l").join(right.alias("r"), (F.col("l.digest") == F.col("r.digest")) & (F.col("l.salt") == F.col("r.salt")) & F.col("l.other_text").eqNullSafe(F.col("r.other_text")))
     shared = found.select("l.doc_id", "keep_id", "group_size", "l.digest", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     shared = shared.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest")
