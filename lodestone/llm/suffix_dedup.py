@@ -9,8 +9,9 @@ range partitions, neighbours of different documents are compared, and each
 match is extended to the right and to the left.  Matches of at least MIN_WORDS
 words are merged per document.
 
-The edges of neighbouring range partitions (two rows a partition) are compared
-in a second small step, so that the order counts as one.
+The edges of neighbouring range partitions (a document's run of suffixes and
+one more row at either end) are compared in a second small step, so that no
+suffix misses a neighbour.
 
 Defined cases: words are compared lower-cased (A-Z), without punctuation; null,
 empty and short texts have no spans; a passage repeated only inside one
@@ -151,38 +152,40 @@ def _neighbours(batch: pa.RecordBatch, least: int) -> pa.RecordBatch:
 
 
 def _compared(ordered: DataFrame, least: int) -> DataFrame:
-    """Shared spans, and the partition's first and last suffix (where start is null)."""
+    """Shared spans, and the partition's edges (where start is null): the first and the last document's run, each with the row next to it."""
     names = [c.split()[0] for c in _SUFFIX.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = None, None
+    def apart(batch: pa.RecordBatch, row: int) -> np.ndarray:
+        """The rows that aren't of the document and key of one row."""
+        rid, key = batch.column("rid").to_numpy(), batch.column("key").to_numpy()
+        return np.flatnonzero((rid != rid[row]) | (key != key[row]))
 
-        def edge(row: pa.RecordBatch) -> pa.RecordBatch:
-            none = pa.array([None], pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.StructArray.from_arrays(row.columns, names=names)], names=["start", "end", "other", "edge"])
+    def edge(rows: pa.RecordBatch) -> pa.RecordBatch:
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.StructArray.from_arrays(rows.columns, names=names)], names=["start", "end", "other", "edge"])
 
-        def spans(found: pa.RecordBatch) -> pa.RecordBatch:
-            kinds = [x.type for x in batch.columns]
-            empty = [pa.nulls(len(found), k) for k in kinds]
-            empty[names.index("rid")] = found.column("rid")
-            return pa.RecordBatch.from_arrays([found.column("start"), found.column("end"), found.column("other"), pa.StructArray.from_arrays(empty, names=names)], names=["start", "end", "other", "edge"])
+    def spans(found: pa.RecordBatch, kinds: list[pa.DataType]) -> pa.RecordBatch:
+        empty = [pa.nulls(len(found), k) for k in kinds]
+        empty[names.index("rid")] = found.column("rid")
+        return pa.RecordBatch.from_arrays([found.column("start"), found.column("end"), found.column("other"), pa.StructArray.from_arrays(empty, names=names)], names=["start", "end", "other", "edge"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begun = None, False
         for batch in batches:
             batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
             if not len(batch):
                 continue
-            if first is None:
-                first = batch.slice(0, 1)
-                yield edge(first)
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            yield spans(_neighbours(batch, least))
+            if not begun and len(others := apart(batch, 0)):
+                yield edge(batch.slice(0, int(others[0]) + 1))
+                begun = True
+            yield spans(_neighbours(batch, least), batch.schema.types)
             # the last document's run and the suffix before it go on to the next batch
-            rid, key = batch.column("rid").to_numpy(), batch.column("key").to_numpy()
-            other = np.flatnonzero((rid != rid[-1]) | (key != key[-1]))
-            held = batch.slice(max(0, int(other[-1]) if len(other) else 0))
+            others = apart(batch, -1)
+            held = batch.slice(int(others[-1]) if len(others) else 0)
         if held is not None:
-            yield edge(held.slice(len(held) - 1))
+            yield edge(held)
 
     return ordered.mapInArrow(run, f"start long, end long, other long, edge struct<{', '.join(c.replace(' ', ':') for c in _SUFFIX.split(', '))}>")
 
@@ -203,7 +206,7 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_i
     order = ["key", "right", "rid", "pos"]
     found = stored(_compared(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*names), least), "spans")
     spans = found.where("start is not null").select(F.col("edge.rid").alias("rid"), "start", "end", "other")
-    edges = found.where("start is null").select("edge.*").select(*names)  # two rows a partition
+    edges = found.where("start is null").select("edge.*").select(*names).distinct()  # a few rows a partition
     between = _compared(edges.repartition(1).sortWithinPartitions(*order), least).where("start is not null").select(F.col("edge.rid").alias("rid"), "start", "end", "other")
     every = spans.unionByName(between).distinct()
 

@@ -275,6 +275,18 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_at_partition_edges(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before, covered = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (1, 61):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            covered.append({(r["doc_id"], w) for r in suffix_dedup.repeated_spans(docs).collect() for w in range(r["start_word"], r["end_word"])})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert covered[0] and covered[0] <= covered[1]
+
+
 def test_suffix_dedup(odd, none, spark, sf_dir):
     spans = suffix_dedup.repeated_spans(odd).collect()
     assert {r["doc_id"] for r in spans} == {5, 6, 7, 8} and all(r["n_words"] >= 50 for r in spans)
