@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, read_table, stored
+from .common import arrow_rows, doc_columns, read_table, stored
 from .graph import components
 from .textbuf import buffers, chunks, mix, powers, shingles, words
 
@@ -44,6 +44,8 @@ BANDS, ROWS = 26, 5
 SMALL = 32
 #: Nodes of a block of a larger bucket.
 BLOCK = 256
+#: Rows of a batch whose rows hold whole sets.
+SET_ROWS = 256
 _ELEMENT_BITS = 44
 
 
@@ -227,7 +229,8 @@ def _classes(rows: DataFrame, unique: bool, threshold: float, size: int, bands:
     # the sets of all nodes that share a bucket, from one shuffle of texts at any size
     chosen = members.select(F.col("node").alias("rid")).distinct()
     sets = stored(_sets(rows.select("rid", "text").join(chosen.hint("merge"), "rid", "left_semi"), size), "sets")
-    links = stored(verified(pairs, sets, threshold), "links")
+    with arrow_rows(rows.sparkSession, SET_ROWS):
+        links = stored(verified(pairs, sets, threshold), "links")
     found = components(links)
 
     # buckets that still hold several components
@@ -239,7 +242,8 @@ def _classes(rows: DataFrame, unique: bool, threshold: float, size: int, bands:
     same = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))
     apart = left.join(right, same & (F.col("l.component") != F.col("r.component")) & near(F.col("l.n"), F.col("r.n")))
     rest = stored(apart.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = [stored(verified(rest, sets, threshold), "links")] if not rest.isEmpty() else []
+    with arrow_rows(rows.sparkSession, SET_ROWS):
+        more = [stored(verified(rest, sets, threshold), "links")] if not rest.isEmpty() else []
     if not many.isEmpty():
         last = F.ceil(F.col("members") / BLOCK).cast("int") - 1
         own = F.pmod(F.xxhash64("node"), last + 1).cast("int")
@@ -248,7 +252,8 @@ def _classes(rows: DataFrame, unique: bool, threshold: float, size: int, bands:
         order = ["band", "key", "lower", "upper"]
         tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         blocks = dealt.join(sets.withColumnRenamed("rid", "node"), "node").select(*order, "side", "node", "component", "elements").repartition(tasks, *order).sortWithinPartitions(*order, "side")
-        more.append(stored(_blocks_compared(blocks, threshold), "links"))
+        with arrow_rows(rows.sparkSession, SET_ROWS):
+            more.append(stored(_blocks_compared(blocks, threshold), "links"))
     more = [m for m in more if not m.isEmpty()]
     if more:
         found = components(functools.reduce(DataFrame.unionByName, more, links))
