@@ -39,6 +39,8 @@ SAMPLE_ROWS = 3_000
 ORDERS = (3, 4, 5)
 BITS = 18
 FOLDS = 5
+#: Training texts whose features are worked on at once.
+BLOCK_ROWS = 250
 
 _FOLD = LOWER.copy()
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -70,24 +72,28 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 40, l2: floa
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return np.zeros(size, np.float32), 40.0 * (share - 0.5) if len(labels) else -40.0
-    counts = np.array([len(r) for r in rows])
-    flat, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), counts)
-    toxic = labels[row] == 1
-    pos, neg = np.bincount(flat[toxic], minlength=size) + 1.0, np.bincount(flat[~toxic], minlength=size) + 1.0
+    pos, neg = np.ones(size), np.ones(size)
+    for r, label in zip(rows, labels):
+        (pos if label == 1 else neg)[r] += 1.0
     ratio = np.log((pos / (labels.sum() + 2.0)) / (neg / ((1 - labels).sum() + 2.0)))
     ratio[(pos + neg) < 5] = 0.0  # seen once or twice
-    x = ratio[flat]
-    keep = np.abs(x) > 0.1
-    flat, row, x = flat[keep], row[keep], x[keep]
+    used = np.abs(ratio) > 0.1
+    blocks = []  # a few texts at a time, so that what is made from all features at once stays small
+    for lo in range(0, len(rows), BLOCK_ROWS):
+        own = [r[used[r]] for r in rows[lo : lo + BLOCK_ROWS]]
+        blocks.append((slice(lo, lo + len(own)), np.concatenate(own), np.array([len(r) for r in own])))
     # each label weighs half, so that 0.5 divides them
     y = labels.astype(np.float64)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, b, m, v, mb, vb = np.zeros(size), 0.0, np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, epochs + 1):
-        z = np.bincount(row, weights=w[flat] * x, minlength=len(y)) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight / len(y)
-        g = np.bincount(flat, weights=err[row] * x, minlength=size) + l2 * w / len(y)
-        gb = err.sum()
+        g, gb = l2 * w / len(y), 0.0
+        for part, flat, counts in blocks:
+            row, x = np.repeat(np.arange(len(counts)), counts), ratio[flat]
+            z = np.bincount(row, weights=w[flat] * x, minlength=len(counts)) + b
+            err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[part]) * weight[part] / len(y)
+            g += np.bincount(flat, weights=err[row] * x, minlength=size)
+            gb += err.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         w -= 0.02 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
