@@ -9,6 +9,12 @@ range partitions, neighbours of different documents are compared, and each
 match is extended to the right and to the left.  Matches of at least MIN_WORDS
 words are merged per document.
 
+Sorted neighbours don't show every match: a document may share its left words
+with another row of the same key than the one it shares most right words with.
+So the windows of MIN_WORDS words around each kept position are hashed and
+grouped, and every window that two documents hold is a match.  Left out are
+those that the sort rules out or has found already (`_neighbours`).
+
 The edges of neighbouring range partitions (a document's run of suffixes and
 one more row at either end) are compared in a second small step, so that no
 suffix misses a neighbour.
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, stored
 from .near_dedup import with_row_ids
-from .textbuf import buffers, chunks, shingles, words
+from .textbuf import buffers, chunks, mix, powers, shingles, words
 
 MIN_WORDS = 50
 GRAM = 16
@@ -126,8 +132,32 @@ class _Rows:
         self.left = buffers(batch.column("left"))[0].reshape(-1, LEFT * 4).view(np.uint32)
 
 
-def _neighbours(batch: pa.RecordBatch, least: int) -> pa.RecordBatch:
-    """Spans that neighbouring documents share: rid, start, end, other."""
+def _windows(t: _Rows, rows: np.ndarray, shared: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash, rid, start of the windows of `least` words that hold the rows' keys and at most `shared` words from there on."""
+    n = LEFT + RIGHT
+    inverse = np.full(n, pow(int(powers(2)[1]), -1, 1 << 64), np.uint64)
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    low, high = np.maximum(least - shared, 0), np.minimum(t.n_left[rows], least - GRAM)
+    some = low <= high
+    rows, low, high = rows[some], low[some], high[some]
+    line = np.concatenate([t.left[rows, ::-1], t.right[rows].byteswap()], axis=1).astype(np.uint64) * powers(n)
+    sums = np.concatenate([np.zeros((len(rows), 1), np.uint64), np.cumsum(line, axis=1, dtype=np.uint64)], axis=1)
+    many = (high - low + 1).astype(np.int64)
+    at = np.repeat(np.arange(len(rows)), many)
+    left = low[at] + np.arange(len(at)) - (np.cumsum(many) - many)[at]
+    begin = LEFT - left
+    return mix((sums[at, begin + least] - sums[at, begin]) * inverse[begin]).view(np.int64), t.rid[rows[at]], t.pos[rows[at]] - left
+
+
+def _neighbours(batch: pa.RecordBatch, least: int, inner: slice) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Spans that neighbouring documents share: rid, start, end, other; and windows of the rows `inner`: hash, rid, start.
+
+    No document shares more words to the right than a sorted neighbour, so that
+    longer right sides need no hash (at the ends of the batch nothing is known).
+    Of equal rows two documents' are enough, as the others are neighbours of one.
+    Nor need the two rows of a key that has no more.
+    """
     t = _Rows(batch)
     n = len(t.rid)
     turn = np.flatnonzero((t.rid[1:] != t.rid[:-1]) | (t.key[1:] != t.key[:-1])) + 1  # runs of one document
@@ -144,15 +174,33 @@ def _neighbours(batch: pa.RecordBatch, least: int) -> pa.RecordBatch:
     p, q = np.concatenate(pairs, axis=1)
     r = np.minimum(_same(t.right[p], t.right[q]), np.minimum(t.n_right[p], t.n_right[q]))
     l_ = np.minimum(_same(t.left[p], t.left[q]), np.minimum(t.n_left[p], t.n_left[q]))
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, p, r)
+    known = (run > 0) & (run < len(begin) - 1)
+    most = np.where(known, most, t.n_right)
+    fresh = np.flatnonzero(np.concatenate([[True], t.key[1:] != t.key[:-1]]))
+    rows_of_key = np.repeat(np.diff(np.append(fresh, n)), np.diff(np.append(fresh, n)))
+    inside = (t.key != t.key[0]) & (t.key != t.key[-1])
+    equal = np.concatenate([[False], (t.key[1:] == t.key[:-1]) & (t.n_left[1:] == t.n_left[:-1]) & (t.n_right[1:] == t.n_right[:-1]) & (t.right[1:] == t.right[:-1]).all(1) & (t.left[1:] == t.left[:-1]).all(1)])
+    head = np.maximum.accumulate(np.where(equal, 0, np.arange(n)))  # the first of equal rows; they are in order of rid
+    other = t.rid != t.rid[head]
+    second = other & ~np.concatenate([[False], other[:-1]])
+    several = np.zeros(n, bool)
+    several[head[other]] = True
+    needed = ~several[head] | (head == np.arange(n)) | second
+    needed &= ~(inside & (rows_of_key == 2))
+    rows = np.arange(n)[inner]
+    rows = rows[needed[inner]]
+    windows = pa.RecordBatch.from_arrays([pa.array(c) for c in _windows(t, rows, most[rows], least)], names=["hash", "rid", "start"])
     ok = r + l_ >= least
     p, q, r, l_ = p[ok], q[ok], r[ok], l_[ok]
     rid, at, other = np.concatenate([t.rid[p], t.rid[q]]), np.concatenate([t.pos[p], t.pos[q]]), np.concatenate([t.rid[q], t.rid[p]])
     l2, r2 = np.concatenate([l_, l_]), np.concatenate([r, r])
-    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at - l2), pa.array(at + r2), pa.array(other)], names=["rid", "start", "end", "other"])
+    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at - l2), pa.array(at + r2), pa.array(other)], names=["rid", "start", "end", "other"]), windows
 
 
 def _compared(ordered: DataFrame, least: int) -> DataFrame:
-    """Shared spans, and the partition's edges (where start is null): the first and the last document's run, each with the row next to it."""
+    """Shared spans, windows (with a hash), and the partition's edges (where start is null): the first and the last document's run, each with the row next to it."""
     names = [c.split()[0] for c in _SUFFIX.split(", ")]
 
     def apart(batch: pa.RecordBatch, row: int) -> np.ndarray:
@@ -162,15 +210,16 @@ def _compared(ordered: DataFrame, least: int) -> DataFrame:
 
     def edge(rows: pa.RecordBatch) -> pa.RecordBatch:
         none = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.StructArray.from_arrays(rows.columns, names=names)], names=["start", "end", "other", "edge"])
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.StructArray.from_arrays(rows.columns, names=names)], names=["start", "end", "other", "hash", "edge"])
 
-    def spans(found: pa.RecordBatch, kinds: list[pa.DataType]) -> pa.RecordBatch:
-        empty = [pa.nulls(len(found), k) for k in kinds]
+    def made(found: pa.RecordBatch, kinds: list[pa.DataType]) -> pa.RecordBatch:
+        empty, none = [pa.nulls(len(found), k) for k in kinds], pa.nulls(len(found), pa.int64())
         empty[names.index("rid")] = found.column("rid")
-        return pa.RecordBatch.from_arrays([found.column("start"), found.column("end"), found.column("other"), pa.StructArray.from_arrays(empty, names=names)], names=["start", "end", "other", "edge"])
+        columns = [found.column(c) if c in found.schema.names else none for c in ("start", "end", "other", "hash")]
+        return pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays(empty, names=names)], names=["start", "end", "other", "hash", "edge"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, begun = None, False
+        held, begun, done = None, False, 0
         for batch in batches:
             batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
             if not len(batch):
@@ -180,14 +229,17 @@ def _compared(ordered: DataFrame, least: int) -> DataFrame:
             if not begun and len(others := apart(batch, 0)):
                 yield edge(batch.slice(0, int(others[0]) + 1))
                 begun = True
-            yield spans(_neighbours(batch, least), batch.schema.types)
             # the last document's run and the suffix before it go on to the next batch
             others = apart(batch, -1)
+            for found in _neighbours(batch, least, slice(done, int(others[-1]) + 1 if len(others) else 0)):
+                yield made(found, batch.schema.types)
+            done = 1 if len(others) else 0
             held = batch.slice(int(others[-1]) if len(others) else 0)
         if held is not None:
+            yield made(_neighbours(held, least, slice(done, None))[1], held.schema.types)
             yield edge(held)
 
-    return ordered.mapInArrow(run, f"start long, end long, other long, edge struct<{', '.join(c.replace(' ', ':') for c in _SUFFIX.split(', '))}>")
+    return ordered.mapInArrow(run, f"start long, end long, other long, hash long, edge struct<{', '.join(c.replace(' ', ':') for c in _SUFFIX.split(', '))}>")
 
 
 def repeated_spans(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,12 +255,15 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_i
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [c.split()[0] for c in _SUFFIX.split(", ")]
-    order = ["key", "right", "rid", "pos"]
+    order = ["key", "right", "left", "rid", "pos"]
     found = stored(_compared(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*names), least), "spans")
-    spans = found.where("start is not null").select(F.col("edge.rid").alias("rid"), "start", "end", "other")
+    spans = found.where("start is not null and hash is null").select(F.col("edge.rid").alias("rid"), "start", "end", "other")
     edges = found.where("start is null").select("edge.*").select(*names).distinct()  # a few rows a partition
-    between = _compared(edges.repartition(1).sortWithinPartitions(*order), least).where("start is not null").select(F.col("edge.rid").alias("rid"), "start", "end", "other")
-    every = spans.unionByName(between).distinct()
+    between = _compared(edges.repartition(1).sortWithinPartitions(*order), least).where("start is not null and hash is null").select(F.col("edge.rid").alias("rid"), "start", "end", "other")
+    windows = found.where("hash is not null").select("hash", F.col("edge.rid").alias("rid"), "start")
+    meets = stored(windows.groupBy("hash").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high"), "meets")
+    met = windows.join(meets, "hash").select("rid", "start", (F.col("start") + least).alias("end"), F.when(F.col("rid") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
+    every = spans.unionByName(between).unionByName(met).distinct()
 
     line = W.partitionBy("rid").orderBy("start", "end", "other")
     reach = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))

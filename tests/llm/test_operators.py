@@ -311,6 +311,27 @@ def test_suffix_dedup(odd, none, spark, sf_dir):
     assert sum(len(want[i] - got[i]) for i in want) <= 0.001 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("head", [5, 10, 20, 34, 40])
+def test_suffix_dedup_with_a_hot_tail(spark, head):
+    """Pairs that share a rare head before words that many documents hold: no word is missed."""
+    rng = random.Random(head)
+    prose = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    tail, texts = prose(49 if head >= 34 else 50 - head), []
+    for _ in range(12):
+        shared = prose(head) + tail
+        texts += [prose(60) + shared + prose(60) for _ in range(2)]
+    texts += [prose(60) + tail + prose(60) for _ in range(60)]
+    rng.shuffle(texts)
+    where = defaultdict(set)
+    for i, w in enumerate(texts):
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(i)
+    want = {(i, k + j) for i, w in enumerate(texts) for k in range(len(w) - 49) if len(where[tuple(w[k : k + 50])]) > 1 for j in range(50)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], w) for r in suffix_dedup.repeated_spans(docs).collect() for w in range(r["start_word"], r["end_word"])}
+    assert want and got == want
+
+
 def test_queries_against_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "pages"):
