@@ -1,10 +1,11 @@
 """Near-duplicate detection by ProbMinHash, banding and verification.
 
-A document's elements are its distinct runs of five words, weighted by
-1 + ln(occurrences).  Each element is a Poisson process whose rate is its
-weight; its arrivals fall on the M signature components at random, and a
-component keeps the element that arrives first, which estimates the
-probability Jaccard similarity.  An element stops as soon as its next arrival
+A document's elements are its distinct runs of five words, all of weight 1.
+Each element is a Poisson process whose rate is its weight; its arrivals fall
+on the M signature components at random, and a component keeps the element
+that arrives first, which estimates the probability Jaccard similarity.  With
+equal weights that is the Jaccard similarity of the sets, which links are
+judged by, so that repeated parts don't keep a pair out of a bucket.  An element stops as soon as its next arrival
 is later than every component's first one.  Bands of ROWS components propose
 candidates; a link is a pair whose exact Jaccard similarity of shingle sets is
 at least the threshold.
@@ -93,9 +94,9 @@ def signed(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS, size: int
             buf, offsets = buffers(batch.column("text"))
             for lo, hi in chunks(offsets):
                 k = hi - lo
-                x, row, many = elements(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                x, row, _ = elements(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 n = np.bincount(row, minlength=k)
-                sig = signatures(x, row, 1.0 + np.log(many), k, m)
+                sig = signatures(x, row, np.ones(len(x)), k, m)
                 key = np.zeros((k, bands), np.uint64)
                 for j in range(per_band):
                     key += sig[:, j::per_band][:, :bands] * powers(per_band + 1)[j + 1]

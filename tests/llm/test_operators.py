@@ -332,6 +332,20 @@ def test_suffix_dedup_with_a_hot_tail(spark, head):
     assert want and got == want
 
 
+def test_near_dedup_with_a_repeated_part(spark):
+    """A part that one document repeats doesn't hide the pair: the classes are those of the shingle sets."""
+    rng, texts = random.Random(23), []
+    for i in range(120):
+        w = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
+        other = w[:-1] + ["x"] if i % 2 else w[:284] + [f"v{rng.randint(0, 10**9)}" for _ in range(16)]
+        texts += [" ".join(w), " ".join(other[:60] * 50 + other[60:])]
+    want = classes_of(texts)
+    assert len(set(want)) == 120
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_queries_against_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "pages"):
