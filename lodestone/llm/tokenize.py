@@ -7,8 +7,9 @@ texts at once, each distinct piece goes through the ``tokenizers`` library's
 own model once per worker, and the ids are gathered from that cache.
 
 Texts of ASCII and Latin-1 letters without an apostrophe (whose contractions
-have rules of their own) are split here; any other text goes to the library
-whole, with the same result and less speed.
+have rules of their own) are split here; any other text, and one that holds an
+added token's literal (which is an id of its own), goes to the library whole,
+with the same result and less speed.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # in any case of letters: some are looked for in the lower-cased text
+        self.added = [t.content.encode("utf-8").lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.lower_words, self.letters = lower_words, _byte_letters()
         self._forget()
 
@@ -71,7 +73,7 @@ class PieceEncoder:
         rows = len(offsets) - 1
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
-        odd = self._odd(buf)
+        odd = np.concatenate([self._odd(buf), self._literals(buf)])
         odd_rows = np.unique(np.searchsorted(offsets, odd, side="right") - 1)
         if not len(odd_rows):
             return self._pieces(buf, offsets)
@@ -86,6 +88,16 @@ class PieceEncoder:
                 out[r] = x
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
+    def _literals(self, buf: np.ndarray) -> np.ndarray:
+        """Places where an added token's literal begins."""
+        raw, places = LOWER[buf].tobytes(), []
+        for literal in self.added:
+            at = raw.find(literal)
+            while at >= 0:
+                places.append(at)
+                at = raw.find(literal, at + 1)
+        return np.array(places, np.int64)
+
     @staticmethod
     def _odd(buf: np.ndarray) -> np.ndarray:
         """Places of bytes that the fast path doesn't know: all but ASCII and U+00C0 to U+00FF without its two signs."""

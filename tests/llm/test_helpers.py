@@ -46,6 +46,21 @@ def test_encoders_equal_the_library(make):
             assert ids[e - n : e].tolist() == (encoder.library(t).tolist() if t else [])
 
 
+@pytest.mark.parametrize(("make", "name"), [(tokenize.byte_encoder, "byte_bpe_50k.json"), (tokenize.word_encoder, "word_bpe_49k.json")])
+def test_encoders_equal_a_fresh_library(make, name):
+    """Also where a text holds an added token's literal."""
+    from tokenizers import Tokenizer
+
+    encoder, fresh, rng = make(), Tokenizer.from_file(tokenize.default_path(name)), random.Random(8)
+    literals = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    assert literals
+    parts = [*literals, *[x.upper() for x in literals], literals[0][:-1], literals[0][1:], " one", "two ", "  ", "3", "it's", "\n", "é", "."]
+    texts = ["one <|endoftext|> two", "plain words", *literals, *["".join(rng.choices(parts, k=rng.randint(1, 8))) for _ in range(300)]]
+    ids, counts = encoder.encode(*buffers(pa.array(texts)))
+    for t, e, n in zip(texts, np.cumsum(counts), counts):
+        assert ids[e - n : e].tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+
+
 def test_encoder_forgets_without_harm(monkeypatch):
     encoder = tokenize.PieceEncoder(tokenize.default_path("byte_bpe_50k.json"), False)
     monkeypatch.setattr(tokenize, "CACHE_PIECES", 3)
