@@ -1,11 +1,13 @@
 """Trees as nested sets: every node spans (lft, rgt), and its descendants lie inside.
 
 Reads are range conditions or range joins; writes change all bounds in one
-pass; a rebuild numbers the nodes from their parents by windows over paths.
+pass; a rebuild numbers the nodes from their parents by sorted paths.
 """
 
 from __future__ import annotations
 
+import functools
+import tempfile
 from dataclasses import dataclass
 from typing import Any
 
@@ -16,6 +18,18 @@ from pyspark.sql import Window as W
 from ..errors import InvalidArgument
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: the rows are written to the checkpoint folder (spark.checkpoint.dir, or where it is unset, as in tests, one of our own)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
+    return df.checkpoint()
+
+
 @dataclass(frozen=True)
 class Tree:
     """A table of nodes; scope: columns that tell trees of one table apart."""
@@ -175,27 +189,46 @@ class Tree:
         b = per.agg(F.coalesce(F.sum(F.col("n") - F.col("d")), F.lit(0)).alias("repeated"), F.coalesce(F.sum(F.col("high") - F.col("low") + 1 - F.col("d")), F.lit(0)).alias("missing")).first().asDict()
         return {**a, **b}
 
-    def rebuild(self, order: str | None = None, levels: int = 100) -> DataFrame:
-        """Bounds and depths from the parents alone: paths level by level, then two windows."""
+    def rebuild(self, order: str | None = None) -> DataFrame:
+        """Bounds and depths from the parents alone: paths level by level, sorted and numbered.
+
+        Rows that no root reaches (orphans, cycles and what is below them) stay as they are.
+        """
+        spark, scope = self.table.sparkSession, list(self.scope)
         key = F.struct(*[F.col(c) for c in dict.fromkeys([order or self.lft, self.id])])
         base = self.table.withColumn("__key", key)
-        level = base.where(F.col(self.parent).isNull()).select(*self.scope, F.col(self.id).alias("__id"), F.array("__key").alias("__path"))
-        paths, edges = level, base.select(F.col(self.id).alias("__child"), F.col(self.parent).alias("__up"), F.col("__key").alias("__own"), *[F.col(s).alias(f"__c_{s}") for s in self.scope])
-        for _ in range(levels):
-            level = level.join(edges, F.col("__id") == F.col("__up")).select(*self.scope, F.col("__child").alias("__id"), F.concat("__path", F.array("__own")).alias("__path"))
+        edges = _written(base.where(F.col(self.parent).isNotNull()).select(F.col(self.id).alias("__child"), F.col(self.parent).alias("__up"), F.col("__key").alias("__own")))
+        level = _written(base.where(F.col(self.parent).isNull()).select(*scope, F.col(self.id).alias("__id"), F.array("__key").alias("__path")))
+        levels, most = [level], edges.count()
+        while True:
+            level = _written(level.join(edges, F.col("__id") == F.col("__up")).select(*scope, F.col("__child").alias("__id"), F.concat("__path", F.array("__own")).alias("__path")))
             if level.isEmpty():
                 break
-            paths = paths.unionByName(level)
-        w = W.partitionBy(*self.scope).orderBy("__path")
-        numbered = paths.withColumn("__n", F.row_number().over(w)).withColumn("__depth", F.size("__path") - 1)
-        # below(n): rows whose path begins with n's path
-        d = numbered.select(*self.scope, F.explode(F.transform("__path", lambda k: k[self.id])).alias("__id"))
-        sizes = d.groupBy(*self.scope, "__id").agg(F.count("*").alias("__size"))
-        done = numbered.join(sizes, [*self.scope, "__id"])
+            if len(levels) > most:  # a path longer than all rows: an identifier that occurs twice closes a cycle
+                raise InvalidArgument("a root reaches a cycle")
+            levels.append(level)
+        while len(levels) > 1:  # unions of a few tables each
+            levels = [_written(_union(levels[i : i + 32])) for i in range(0, len(levels), 32)]
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sort = [*scope, "__path"]
+        placed = _written(levels[0].repartitionByRange(parts, *sort).withColumn("__part", F.spark_partition_id()))
+        # the rows of earlier partitions, of which there are few per scope
+        counts = placed.groupBy(*scope, "__part").agg(F.count("*").alias("__many"))
+        before = F.coalesce(F.sum("__many").over(W.partitionBy(*scope).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        offsets = counts.withColumn("__before", before).select(*[F.col(c).alias(f"__o_{c}") for c in scope], F.col("__part").alias("__p"), "__before")
+        inside = placed.withColumn("__in", F.row_number().over(W.partitionBy("__part", *scope).orderBy("__path")))
+        same = F.col("__part") == F.col("__p")
+        for c in scope:
+            same = same & F.col(c).eqNullSafe(F.col(f"__o_{c}"))
+        numbered = inside.join(offsets, same).select("__id", "__path", (F.col("__before") + F.col("__in")).alias("__n"), (F.size("__path") - 1).alias("__depth"))
+        # below(n): rows whose path holds n
+        sizes = placed.select(F.explode(F.transform("__path", lambda k: k[self.id])).alias("__id")).groupBy("__id").agg(F.count("*").alias("__size"))
         lft = 2 * F.col("__n") - 1 - F.col("__depth")
-        done = done.select(F.col("__id"), lft.alias("__lft"), (lft + 2 * F.col("__size") - 1).alias("__rgt"), "__depth")
+        done = numbered.join(sizes, "__id").select(F.col("__id"), lft.alias("__lft"), (lft + 2 * F.col("__size") - 1).alias("__rgt"), "__depth")
         types = {f.name: f.dataType for f in self.table.schema.fields}
-        return self.table.join(done, F.col(self.id) == F.col("__id")).select(*[F.col({self.lft: "__lft", self.rgt: "__rgt", self.depth: "__depth"}.get(c, c)).cast(types[c]).alias(c) for c in self.table.columns])
+        fresh = {self.lft: "__lft", self.rgt: "__rgt", self.depth: "__depth"}
+        value = lambda c: F.when(F.col("__id").isNotNull(), F.col(fresh[c]).cast(types[c])).otherwise(F.col(c)) if c in fresh else F.col(c)
+        return self.table.join(done, F.col(self.id) == F.col("__id"), "left").select(*[value(c).alias(c) for c in self.table.columns])
 
     def nested(self, key: Any = None) -> list[dict[str, Any]]:
         """Nested dicts (children) of a subtree or of all, on the driver."""

@@ -407,3 +407,13 @@ def test_pushdown_and_join_plans(spark, sf_dir):
     scan = plan(e.use("orders").where("o_totalprice", ">", 1000).where(time("o_orderdate").in_year(1996)).select("o_orderkey"))
     assert "PushedFilters: [" in scan and "GreaterThan(o_totalprice,1000.0)" in scan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in scan
     assert "LeftSemi" in plan(e.use("customer").where_has("orders")) and "LeftAnti" in plan(e.use("customer").where_doesnt_have("orders"))
+
+
+def test_rebuild_of_a_deep_tree_with_unreached_rows(spark):
+    """Levels beyond 100 are numbered; orphans and cycles stay as they are."""
+    n = 105
+    rows = [(i, i - 1 if i else None, 0, 0, 0) for i in range(n)] + [(500, 0, 0, 0, 0), (900, 899, 7, 8, 3), (901, 902, 9, 9, 9), (902, 901, 9, 9, 9)]
+    nodes = spark.createDataFrame(rows, "id long, parent_id long, lft long, rgt long, depth long")
+    got = {r["id"]: (r["lft"], r["rgt"], r["depth"]) for r in Tree(nodes).rebuild(order="id").collect()}
+    want = {i: (i + 1, 2 * n - i + (2 if i == 0 else 0), i) for i in range(n)}
+    assert got == {**want, 500: (2 * n, 2 * n + 1, 1), 900: (7, 8, 3), 901: (9, 9, 9), 902: (9, 9, 9)}
