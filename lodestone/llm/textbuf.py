@@ -16,6 +16,8 @@ import pyarrow as pa
 CHUNK_BYTES = 2 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Places in a run whose bytes' values are looked up rather than computed.
+_TABLE_PLACES = 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.zeros(256, dtype=bool)
@@ -44,6 +46,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_TABLE = mix(np.arange(_TABLE_PLACES << 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (from 0) of a string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -69,16 +74,31 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
-def run_hashes(buf: np.ndarray, keep: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs that begin at `starts`; bytes where `keep` is false don't count."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    at = np.arange(len(buf), dtype=np.int64)
-    first = np.zeros(len(buf), dtype=np.int64)
+def places(n: int, starts: np.ndarray) -> np.ndarray:
+    """Of n bytes, each one's place in its run; before the first run counted from 0."""
+    at = np.arange(n, dtype=np.int64)
+    first = np.zeros(n, dtype=np.int64)
     first[starts] = starts
     np.maximum.accumulate(first, out=first)
     at -= first
-    values = (buf.astype(np.uint64) + np.uint64(1)) * powers(int(at.max()) + 1)[at]
+    return at
+
+
+def run_hashes(buf: np.ndarray, keep: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs that begin at `starts`; bytes where `keep` is false don't count.
+
+    A hash sums up a random value of each byte at its place.  (A polynomial
+    modulo 2**64 doesn't do: it maps long regular runs to the same hash.)
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    slot = places(len(buf), starts)
+    slot <<= 8
+    slot |= buf
+    values = _TABLE[np.minimum(slot, len(_TABLE) - 1)]
+    far = np.flatnonzero(slot >= len(_TABLE))
+    if len(far):
+        values[far] = mix(slot[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     values[~keep] = 0
     return mix(np.add.reduceat(values, starts))
 

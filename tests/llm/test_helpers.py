@@ -135,3 +135,35 @@ def test_signatures_estimate_similarity():
 
 def test_crc_is_over_little_endian_ids():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\1\0\0\0\2\0\0\0")
+
+
+def thue_morse(n, a="a", b="b"):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out[:n]
+
+
+@pytest.mark.parametrize(("make", "name"), [(tokenize.byte_encoder, "byte_bpe_50k.json"), (tokenize.word_encoder, "word_bpe_49k.json")])
+@pytest.mark.parametrize("hashed", ["as it is", "to three values"])
+def test_pieces_are_told_apart_by_bytes(make, name, hashed, monkeypatch):
+    """Long regular runs whose polynomial hashes are equal, and a hash that hardly tells pieces apart."""
+    from tokenizers import Tokenizer
+
+    fresh, rng = Tokenizer.from_file(tokenize.default_path(name)), random.Random(4)
+    encoder = tokenize.PieceEncoder(tokenize.default_path(name), make is tokenize.word_encoder)
+    if hashed != "as it is":
+        plain = tokenize.run_hashes
+        monkeypatch.setattr(tokenize, "run_hashes", lambda *a: plain(*a) % np.uint64(3))
+    texts = [t for n in (1024, 2048) for t in (thue_morse(n), thue_morse(n, "b", "a"))] + ["one two", "two  one\n3 ", "", "One, two"]
+    texts += [" ".join(rng.choice(["aa", "bb", "ab", "c", "12"]) for _ in range(9)) for _ in range(20)]
+    for batch in (texts, texts[::-1]):
+        ids, counts = encoder.encode(*buffers(pa.array(batch)))
+        for t, e, n in zip(batch, np.cumsum(counts), counts):
+            assert ids[e - n : e].tolist() == fresh.encode(t, add_special_tokens=False).ids, t[:40]
+
+
+def test_long_regular_words_differ():
+    buf, offsets = buffers(pa.array([thue_morse(2048) + " x", thue_morse(2048, "b", "a") + " x"]))
+    hashes, counts = words(buf, offsets)
+    assert counts.tolist() == [2, 2] and hashes[0] != hashes[2] and hashes[1] == hashes[3]
