@@ -16,7 +16,11 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_whole(uri: str, parts) -> int:
-    """Writes under a name of its own, then renames: a repeated or lost task never leaves half a file."""
+    """Writes under a name of its own, then renames: a repeated or lost task never leaves half a file.
+
+    Some stores don't rename onto a file that is there.  One that is there is
+    whole and was written by an earlier attempt from the same rows: it stays.
+    """
     system, path = store(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
@@ -25,7 +29,12 @@ def write_whole(uri: str, parts) -> int:
         for part in parts:
             out.write(part)
             n += len(part)
-    system.move(own, path)
+    try:
+        system.move(own, path)
+    except OSError:
+        if system.get_file_info(path).type != fs.FileType.File:
+            raise
+        system.delete_file(own)
     return n
 
 
