@@ -7,16 +7,20 @@ regularised logistic regression is trained on the scaled features.  Scoring is
 one pass over whole texts in Arrow batches.
 
 The classifier is fitted on a bounded sample of labelled rows: at most
-SAMPLE_ROWS of each label, those with the smallest hashes of their identifier.
-Their features are taken from whole texts by many tasks; one task, whose memory
-SAMPLE_ROWS and BITS bound, fits the weights.
-Nothing but the text is an input of a score.
+SAMPLE_ROWS of each label, those with the smallest hashes of their identifier,
+and at most SAMPLE_FEATURES features of each label (at least one row of each),
+in the same order.  Features are taken from whole texts by many tasks; one
+task, whose memory SAMPLE_FEATURES and BITS bound (4 and 8 bytes a feature, at
+most 800 MB together), fits the weights.  Nothing but the text is an input of a
+score.
 
 Defined cases: a null text counts as empty; a text without n-grams gets the
 score of the intercept alone; labelled rows with a null label or identifier,
 or with two different labels, aren't learned from; without any rows of one of
 the labels every score is the share of toxic rows (0 without any labels); an
-empty table gives no rows.
+empty table gives no rows.  A very long text is scored whole, by its distinct
+features.  Other columns, whatever their names, are passed through by
+`keep_clean` and left out by `toxicity`.
 """
 
 from __future__ import annotations
@@ -28,14 +32,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_columns, read_table
+from .common import doc_columns, quoted, read_table, stored, unused
 from .textbuf import LOWER, buffers
 
 #: Sampled training rows of each label at most.
 SAMPLE_ROWS = 3_000
+#: Features (distinct slots of texts) of each label's training rows at most.
+SAMPLE_FEATURES = 32 << 20
 ORDERS = (3, 4, 5)
 BITS = 18
 FOLDS = 5
@@ -120,14 +127,20 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, per_label: int =
         for batch in batches:
             buf, offsets = buffers(batch.column("text"))
             slots = [np.unique(_slots(buf[offsets[i] : offsets[i + 1]])).tobytes() for i in range(len(offsets) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("toxic").cast(pa.int32()), pa.array(slots, pa.binary())], names=["label_id", "toxic", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("toxic").cast(pa.int32()), pa.array([len(x) // 4 for x in slots], pa.int64()), pa.array(slots, pa.binary())], names=["label_id", "toxic", "n", "slots"])
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["label_id", "slots"], kind="stable")
         w, b = train([np.frombuffer(x, np.uint32) for x in frame["slots"]], frame["toxic"].to_numpy())
         return pd.DataFrame({"w": [w.tobytes()], "b": [b]})
 
-    rows = training_rows(docs, labels, folds, per_label).mapInArrow(features, "label_id long, toxic int, slots binary")
+    rows = stored(training_rows(docs, labels, folds, per_label).mapInArrow(features, "label_id long, toxic int, n long, slots binary"), "features")
+    # at most 2 * per_label rows of numbers (repeated documents are counted as often as they occur)
+    before = F.sum("size").over(W.partitionBy("toxic").orderBy(F.xxhash64("label_id"), "label_id").rowsBetween(W.unboundedPreceding, 0))
+    sizes = rows.groupBy("toxic", "label_id").agg(F.sum("n").alias("size"))
+    first = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("label_id"), "label_id")) == 1
+    few = sizes.withColumn("fits", (before <= SAMPLE_FEATURES) | first).where("fits").select("label_id")
+    rows = rows.join(F.broadcast(few), "label_id", "left_semi")
     model = rows.groupBy(F.lit(0).alias("one")).applyInPandas(lambda frame: one(frame[["label_id", "toxic", "slots"]]), "w binary, b double").collect()
     if not model:
         return np.zeros(1 << BITS, np.float32), -40.0
@@ -150,19 +163,20 @@ def score_texts(column: pa.Array, weights: np.ndarray, intercept: float) -> np.n
     return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def scores(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All columns of docs (doc_id and text among them), then score."""
+def scores(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """The columns to keep (all) and a last one, the score of text_col; and that column's name (one that docs doesn't have)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB
+    text, name = unused(docs.columns, "text_to_score", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, intercept = shared.value
         for batch in batches:
-            found = pa.array(score_texts(batch.column(batch.schema.get_field_index("__text")), weights, intercept))
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], found], names=[*[batch.schema.names[i] for i in keep], "__score"])
+            found = pa.array(score_texts(batch.column(batch.num_columns - 1), weights, intercept))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], name])
 
-    schema = T.StructType([*docs.drop("__text").schema.fields, T.StructField("__score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    own = docs.select(*[quoted(c) for c in (docs.columns if keep is None else keep)])
+    given = docs.select(*[quoted(c) for c in own.columns], quoted(text_col).cast("string").alias(text))
+    return given.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(name, T.DoubleType())])), name
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,15 +184,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, id_col: str
     rows = doc_columns(docs, id_col, text_col)
     model = fit(rows, labels, folds)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == 0
-    scored = scores(rows.select("doc_id", F.col("text").alias("__text")), model)
-    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    scored, score = scores(rows, model, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), score, (F.col(score) >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
     model = fit(doc_columns(docs, id_col, text_col), labels, folds)
-    scored = scores(docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), model)
-    return scored.where("__score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored, score = scores(docs, model, text_col)
+    return scored.where(F.col(score) < 0.5).select(*[quoted(c) for c in docs.columns])
 
 
 def fold_of(doc_id: int, folds: int = FOLDS) -> int:
