@@ -14,21 +14,27 @@ Defined cases: a null source is a source of its own; a null or empty text has
 size 0 and is replicated at its source's rate; a source whose texts are all
 empty, or that has weight 0 or no entry in explicit weights, gives no rows;
 repeated rows draw the same number of copies each; an empty table gives no
-rows.
+rows.  Texts of any length are counted whole and passed through; so are other
+columns, whatever their names (see `mix` for the name of its own).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import quoted, read_table, stored, unused
 
 SEED = "mix-1"
 #: Numbers in all sources' distributions together up to which their table is broadcast (4 MB).
 BROADCAST_NUMBERS = 500_000
 #: Parts of each source in the join that takes the broadcast's place beyond that.
 SALTS = 64
+#: Copies of a document that are listed at once.
+STRETCH = 1 << 16
 _HEX = 13  # hexadecimal digits of md5 that make a uniform number: 52 bits, exact in a double
 
 
@@ -43,8 +49,8 @@ def uniform(seed: str, *parts: Column) -> Column:
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, out_chars: int | None = None, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per source: n_docs, chars, rate (its mean number of copies)."""
-    size = F.coalesce(F.char_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long")
-    stats = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.count("*").alias("n_docs"), F.sum(size).alias("chars"))
+    size = F.coalesce(F.char_length(quoted(text_col).cast("string")), F.lit(0)).cast("long")
+    stats = docs.select(quoted(source_col).cast("string").alias("source"), size.alias("size")).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("chars"))
     if weights is None:
         weight = F.sqrt(F.col("chars").cast("double"))
     else:
@@ -57,42 +63,62 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, out_chars: i
     return stats.join(F.broadcast(total)).select("source", "n_docs", "chars", "weight", rate.alias("rate"))  # one row
 
 
-def cumulative(rate: Column) -> Column:
-    """Cumulative Poisson probabilities of 0, 1, 2, ..., as far as a double below 1 tells them apart."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 25).cast("int")
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("seen"))
-    # exp of a sum of logarithms: a large rate doesn't underflow
-    term = lambda i: F.exp(i.cast("double") * F.log(rate) - rate - F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), F.lit(0.0), lambda s, j: s + F.log(j.cast("double"))))
-    step = lambda acc, i: F.struct((acc["sum"] + term(i)).alias("sum"), F.concat(acc["seen"], F.array(acc["sum"] + term(i))).alias("seen"))
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), last), start, step)["seen"]).otherwise(F.array(F.lit(1.0)))
+def _log_factorial(i: Column) -> Column:
+    """Exact up to 20, by Stirling's series beyond."""
+    n = i.cast("double")
+    series = 1 / (12 * n) - 1 / (360 * n**3) + 1 / (1260 * n**5) - 1 / (1680 * n**7) + 1 / (1188 * n**9)
+    return F.when(i <= 20, F.log(F.factorial(F.least(i, F.lit(20)).cast("int")).cast("double"))).otherwise((n + 0.5) * F.log(n) - n + 0.5 * math.log(2 * math.pi) + series)
+
+
+def distributions(rates_: DataFrame) -> DataFrame:
+    """source, rate, least, cumulative: the Poisson probabilities of up to least, least + 1, ... copies.
+
+    Only counts around the mean are listed: all others together are less
+    probable than a double below 1 tells apart.  So a source's list has about
+    24 * sqrt(rate) numbers, each computed by itself.
+    """
+    width = 12 * F.sqrt("rate") + 25
+    spans = rates_.select("source", "rate", F.greatest(F.lit(0.0), F.floor(F.col("rate") - width)).cast("long").alias("least"), F.ceil(F.col("rate") + width).cast("long").alias("most"))
+    counts = spans.where("rate > 0").select("source", "rate", "least", F.explode(F.sequence("least", "most")).alias("i"))
+    terms = counts.withColumn("p", F.exp(F.col("i").cast("double") * F.log("rate") - F.col("rate") - _log_factorial(F.col("i"))))
+    summed = terms.withColumn("c", F.sum("p").over(W.partitionBy("source", "rate").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    listed = summed.groupBy("source", "rate", "least").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("listed"))
+    return listed.select("source", "rate", "least", F.col("listed.c").alias("cumulative"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, out_chars: int | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The columns of docs, then __copy (from 1), __copies, __rate and __order; rows in shuffled order."""
-    per_source = rates(docs, weights, out_chars, source_col, text_col)
-    per_source = per_source.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), cumulative(F.col("rate")).alias("__cumulative"))
-    per_source = stored(per_source, "rates")
-    numbers = per_source.agg(F.sum(F.size("__cumulative") + 2)).first()[0] or 0
-    of_source = F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source"))
+    """The columns of docs, then a struct of copy (from 1), copies, rate and shuffle_key; rows in shuffled order.
+
+    The struct is named "mixed", with underscores behind it where docs has that column.
+    """
+    out = unused(docs.columns, "mixed")[0]
+    per_source = stored(distributions(rates(docs, weights, out_chars, source_col, text_col)), "rates")
+    numbers = per_source.agg(F.sum(F.size("cumulative") + 3)).first()[0] or 0
+    # the document's columns lie in a struct, so that no name can clash
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("doc"), quoted(id_col).alias("id"), quoted(source_col).cast("string").alias("own_source"))
+    of_source = F.col("own_source").eqNullSafe(F.col("source"))
     if numbers <= BROADCAST_NUMBERS:
-        joined = docs.join(F.broadcast(per_source), of_source)
+        joined = rows.join(F.broadcast(per_source), of_source)
     else:  # a source of any size is dealt over its parts
-        own = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.lit(SALTS)).cast("int")
-        parts_of = per_source.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("__own", own).join(parts_of, of_source & (F.col("__own") == F.col("__part"))).drop("__own", "__part")
-    u = uniform(seed + "-count", F.col(f"`{id_col}`"))
-    copies = F.size(F.filter(F.col("__cumulative"), lambda c: F.col("__u") >= c))
-    counted = joined.withColumn("__u", u).withColumn("__copies", copies).where("__copies > 0")
-    exploded = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    ordered = exploded.withColumn("__order", F.substring(_hash(seed + "-order", F.col(f"`{id_col}`"), F.col("__copy")), 1, 16))
+        own = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(SALTS)).cast("int")
+        parts_of = per_source.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("own", own).join(parts_of, of_source & (F.col("own") == F.col("part")))
+    u = uniform(seed + "-count", F.col("id"))
+    copies = F.when(F.col("u") < F.get("cumulative", F.lit(0)), F.col("least")).otherwise(F.col("least") + F.size(F.filter("cumulative", lambda c: F.col("u") >= c)))
+    counted = joined.withColumn("u", u).select("doc", "id", "rate", copies.alias("copies")).where("copies > 0")
+    # in two steps, so that no list of a document's copies grows with its rate
+    stretches = counted.withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / STRETCH).cast("long"))))
+    first = F.col("stretch") * STRETCH + 1
+    exploded = stretches.select("doc", "id", "rate", "copies", F.explode(F.sequence(first, F.least(first + (STRETCH - 1), F.col("copies")))).alias("copy"))
+    ordered = exploded.withColumn("shuffle_key", F.substring(_hash(seed + "-order", F.col("id"), F.col("copy")), 1, 16))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = ordered.repartition(parts, "__order").sortWithinPartitions("__order")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__copy", "__copies", "__rate", "__order")
+    dealt = ordered.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select("doc.*", F.struct("copy", "copies", "rate", "shuffle_key").alias(out))
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return mix(docs).select("doc_id", "source", "text", F.col("__copy").alias("copy"), F.col("__copies").alias("copies"), F.round("__rate", 6).alias("rate"), F.col("__order").alias("shuffle_key"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs).select("doc_id", "source", "text", F.col("mixed.copy").cast("int").alias("copy"), F.col("mixed.copies").cast("int").alias("copies"), F.round("mixed.rate", 6).alias("rate"), F.col("mixed.shuffle_key").alias("shuffle_key"))
 
 
 OP4_SQL = """
