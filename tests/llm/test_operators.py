@@ -1,6 +1,7 @@
 """The ten operators and the pipeline on small tables, against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -71,30 +72,101 @@ def test_exact_dedup(odd, none):
 def test_exact_dedup_verifies_bytes(odd, monkeypatch):
     """With a digest that collides, bytes decide."""
     monkeypatch.setattr(exact_dedup, "digest", lambda c: F.lit("00" * 32))
+    monkeypatch.setattr(exact_dedup, "short_hash", lambda c: F.lit(5).cast("long"))
     got = {tuple(r) for r in exact_dedup.exact_dedup(odd.where("doc_id in (4, 5, 6, 8) or doc_id = 3"), "max").select("doc_id", "keep_id", "group_size").collect()}
     assert got == {(4, 4, 3), (3, 4, 3), (5, 5, 1), (6, 6, 1), (8, 8, 1)}
 
 
+def test_exact_dedup_salts(odd, monkeypatch):
+    want = sorted(map(repr, exact_dedup.exact_dedup(odd.unionByName(odd)).collect()))
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 1)
+    assert sorted(map(repr, exact_dedup.exact_dedup(odd.unionByName(odd)).collect())) == want
+
+
+@pytest.mark.parametrize("most", [exact_dedup.BROADCAST_BITMAPS, 0])
+def test_merge_index_takes_later_batches(spark, odd, none, monkeypatch, most):
+    """Batches against an index of several levels; filters broadcast and joined; bytes decide where hashes collide."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BITMAPS", max(most, 1))
+    if not most:
+        monkeypatch.setattr(exact_dedup, "BITMAP_BITS", 64)  # many small bitmaps
+        monkeypatch.setattr(exact_dedup, "short_hash", lambda c: F.pmod(F.xxhash64(c), F.lit(7)))
+    rng = random.Random(2)
+    rows = [(i, f"Text {rng.randint(0, 60)}") for i in range(90)]
+    make = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    index, seen = exact_dedup.MergeIndex(spark), {}
+    assert index.lookup(make(rows), none).count() == 0
+    for k in range(0, 90, 15):
+        batch = rows[k : k + 15]
+        got = Counter(tuple(r) for r in index.lookup(make(batch), make(rows[:k] or [(None, "-")])).collect())
+        assert got == Counter((i, seen[lower(t)]) for i, t in batch if lower(t) in seen)
+        index.add(make(batch))
+        for i, t in batch:
+            seen.setdefault(lower(t), i)
+    assert sorted(r["level"] for r in index.runs) == [1, 1, 2]
+    assert {r["keep_id"]: r["n_rows"] for r in index.merged().collect()} == {first: sum(lower(t) == text for _, t in rows) for text, first in seen.items()}
+    index.add(none.select("doc_id", "text"))
+    assert index.merged().count() == len(seen)
+
+
 def test_mixing(spark, odd, none, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     out = mixing.mix(docs, out_chars=None)
     again = mixing.mix(docs)
-    assert sorted(map(tuple, out.select("doc_id", "__copy").collect())) == sorted(map(tuple, again.select("doc_id", "__copy").collect()))
+    assert sorted(map(tuple, out.select("doc_id", "mixed.copy").collect())) == sorted(map(tuple, again.select("doc_id", "mixed.copy").collect()))
     rates = {r["source"]: r for r in mixing.rates(docs).collect()}
     chars = sum(r["chars"] for r in rates.values())
     assert abs(sum(r["rate"] * r["chars"] for r in rates.values()) - chars) < 1e-3
-    c = [r["c"] for r in spark.range(1).select(F.explode(mixing.cumulative(F.lit(2.5))).alias("c")).collect()]
-    assert all(abs(x - sum(math.exp(-2.5) * 2.5**k / math.factorial(k) for k in range(i + 1))) < 1e-12 for i, x in enumerate(c)) and c[-1] > 1 - 1e-12
+    for rate in (0.003, 2.5, 40.0, 3000.0, 1e7):
+        (row,) = mixing.distributions(spark.createDataFrame([("s", rate), ("t", 0.0)], "source string, rate double")).collect()
+        c, least = row["cumulative"], row["least"]
+        assert len(c) < 26 * math.sqrt(rate) + 60 and abs(c[-1] - 1) < 1e-7 and sorted(c) == c
+        p = [math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(least, least + len(c))]
+        assert all(abs(x - y) < (1e-12 if rate < 100 else 1e-7) for x, y in zip(c, itertools.accumulate(p)))
     many = mixing.mix(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.lit("s").alias("source")), {"s": 1.0}, out_chars=24_000)
     n = many.count()
     assert abs(n - 12_000) < 5 * math.sqrt(12_000)
     only = mixing.mix(odd, {"a": 1.0})
     assert {r["source"] for r in only.collect()} == {"a"} and only.columns[:5] == odd.columns
     assert mixing.mix(none).count() == 0 and mixing.mix(odd, {}).count() == 0
-    keys = [r["__order"] for r in out.coalesce(1).collect()]
+    keys = [r["mixed"]["shuffle_key"] for r in out.coalesce(1).collect()]
     assert len(set(keys)) == len(keys)
 
 
+def test_mixing_by_brute_force(spark, odd, monkeypatch):
+    """Copies are the inverse of the distribution at the hashed number; also with the table joined by shuffle and copies listed in stretches."""
+    docs = odd.where("doc_id is not null")
+    weights, chars = {"a": 1.0, "b": 3.0, "": 2.0}, 400_000
+
+    def wanted():
+        rows = docs.collect()
+        size = Counter()
+        for r in rows:
+            size[r["source"]] += len(r["text"] or "")
+        weigh = {s: weights.get(s or "", 0.0) if n else 0.0 for s, n in size.items()}
+        out = Counter()
+        for r in rows:
+            rate = weigh[r["source"]] / sum(weigh.values()) * chars / size[r["source"]] if size[r["source"]] else 0.0
+            u = (int(hashlib.md5(f"mix-1-count|{r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+            k, p, total = 0, math.exp(-rate), math.exp(-rate)
+            while rate and u >= total:
+                k += 1
+                p *= rate / k
+                total += p
+            for copy in range(1, k + 1):
+                out[(r["doc_id"], r["text"], copy, k, hashlib.md5(f"mix-1-order|{r['doc_id']}|{copy}".encode()).hexdigest()[:16])] += 1
+        return out
+
+    want = wanted()
+    assert sum(want.values()) > 100 and max(x[3] for x in want) > 3
+    for numbers, stretch in ((mixing.BROADCAST_NUMBERS, mixing.STRETCH), (0, 2)):
+        monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", numbers)
+        monkeypatch.setattr(mixing, "STRETCH", stretch)
+        got = mixing.mix(docs, weights, chars)
+        assert Counter(map(tuple, got.select("doc_id", "text", "mixed.copy", "mixed.copies", "mixed.shuffle_key").collect())) == want
+    tiny = spark.createDataFrame([(1, "x", "s"), (2, "y" * 2000, "t")], "doc_id long, text string, source string")
+    assert abs(mixing.mix(tiny, {"s": 1.0, "t": 0.0}, 300_000).count() - 300_000) < 5000
+
+
 def test_license_scan(odd, none, spark):
     phrases = {tuple(k.split()): v for k, v in license_scan.PHRASES.items()}
     got = Counter(tuple(r) for r in license_scan.scan(odd).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect())
@@ -112,7 +184,7 @@ def test_license_scan(odd, none, spark):
     assert license_scan.scan(none).count() == 0
 
 
-def test_toxicity(spark, odd, none):
+def test_toxicity(spark, odd, none, monkeypatch):
     rng = random.Random(7)
     words_ = ["".join(rng.choices("aeiou", k=2)) + "".join(rng.choices("lmnrst", k=3)) for _ in range(300)]
     rows = []
@@ -134,8 +206,61 @@ def test_toxicity(spark, odd, none):
     assert len(strange) == odd.count() and all(0 <= r["score"] <= 1 for r in strange)
     assert toxicity.toxicity(none, labels).count() == 0
     assert all(r["score"] == 0 for r in toxicity.toxicity(odd, labels.limit(0)).select(F.round("score", 9).alias("score")).collect())
-    clean = toxicity.keep_clean(docs.withColumn("__score", F.lit("x")).drop("__score").withColumn("extra", F.lit(1)), labels)
-    assert clean.columns == ["doc_id", "text", "extra"] and 380 < clean.count() < 420
+    clean = toxicity.keep_clean(docs.withColumn("score", F.lit("x")).withColumn("text_to_score", F.lit("y")), labels)
+    assert clean.columns == ["doc_id", "text", "score", "text_to_score"] and 380 < clean.count() < 420 and clean.where("score <> 'x' or text_to_score <> 'y'").isEmpty()
+    # the bound on features keeps the first rows of each label
+    monkeypatch.setattr(toxicity, "SAMPLE_FEATURES", 2000)
+    assert len(toxicity.toxicity(docs, labels).collect()) == 600
+
+
+def test_toxicity_by_brute_force(spark):
+    """Ratios, weights and scores from their definitions, without numpy's tables."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["ab", "Cd", "bad\n bad", "é", "x", ""], k=rng.randint(0, 12))) for _ in range(60)]
+    y = [int("bad" in t) if rng.random() < 0.9 else 1 for t in texts]
+
+    def slots(text):
+        t, out = re.sub(b"[ \t\n\r\x0b\x0c]+", b" ", lower(text).encode()), set()
+        for n in toxicity.ORDERS:
+            for i in range(len(t) - n + 1):
+                h = 0
+                for b in t[i : i + n]:
+                    h = (h * 0x01000193 % 2**32) ^ (b + 1)
+                h = h * 0x9E3779B1 % 2**32
+                out.add((h ^ (h >> 15)) % (1 << toxicity.BITS))
+        return out
+
+    sets = [slots(t) for t in texts]
+    learn = [i for i in range(60) if toxicity.fold_of(i) != 0]
+    count = [Counter(s for i in learn if y[i] == k for s in sets[i]) for k in (0, 1)]
+    n = [sum(y[i] == k for i in learn) for k in (0, 1)]
+    ratio = {}
+    for s in set(count[0]) | set(count[1]):
+        r = math.log((count[1][s] + 1) / (n[1] + 2) / ((count[0][s] + 1) / (n[0] + 2)))
+        if count[0][s] + count[1][s] >= 3 and abs(r) > 0.1:
+            ratio[s] = r
+    # the same steps of the optimiser, one text after another
+    w, m, v, b, mb, vb = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 0.0), 0.0, 0.0, 0.0
+    for step in range(1, 41):
+        g, gb = {s: w[s] / len(learn) for s in ratio}, 0.0
+        for i in learn:
+            z = b + sum(w[s] * ratio[s] for s in sets[i] if s in ratio)
+            e = (1 / (1 + math.exp(-z)) - y[i]) * 0.5 / (n[y[i]] / len(learn)) / len(learn)
+            gb += e
+            for s in sets[i]:
+                if s in ratio:
+                    g[s] += e * ratio[s]
+        c1, c2 = 1 - 0.9**step, 1 - 0.99**step
+        for s in ratio:
+            m[s], v[s] = 0.9 * m[s] + 0.1 * g[s], 0.99 * v[s] + 0.01 * g[s] ** 2
+            w[s] -= 0.02 * (m[s] / c1) / (math.sqrt(v[s] / c2) + 1e-8)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        b -= 0.02 * (mb / c1) / (math.sqrt(vb / c2) + 1e-8)
+    want = [1 / (1 + math.exp(-(b + sum(w[s] * ratio[s] for s in sets[i] if s in ratio)))) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-4 for i in range(60))
 
 
 def classes_of(texts):
