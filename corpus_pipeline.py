@@ -30,7 +30,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources weigh as the square root of their size."""
-    return mixing.mix(docs).select(*docs.columns)
+    out = mixing.mix(docs)
+    return out.drop(out.columns[-1])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
