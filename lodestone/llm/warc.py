@@ -1,7 +1,8 @@
 """WARC archives: one gzip member per record, indexed first, read by coalesced byte ranges.
 
-Writing: each task writes its records to one archive, every record a gzip
-member of its own, under a temporary name that a rename makes final.
+Writing: each task writes its records to archives of about ARCHIVE_BYTES bytes
+at most, every record a gzip member of its own, under a temporary name that a
+rename makes final.
 
 Reading: an index is made first, a row per record (file, offset, length, URL,
 digest and the other headers), by walking each file from member to member.
@@ -16,7 +17,8 @@ ends in a URL are escaped; equal payloads below LEAST_BYTES are all responses;
 of repeated rows (same identifier, same payload) the one with the largest URL,
 or one of identical rows, is the response; a null identifier ranks below all
 others and is written as "-"; an empty table writes no archive and reads as no
-rows.
+rows.  A payload or URL of any length is written and read whole; other columns
+are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read_table, stored
+from .common import fresh_path, quoted, read_table, stored
 from .files import read_range, store, write_whole
 
 LEAST_BYTES = 1000
@@ -40,8 +42,8 @@ SALT_ROWS = 2_000
 GAP_BYTES = 64 << 10
 READ_BYTES = 4 << 20
 _WALK_BYTES = 1 << 17
-#: A record's headers are looked for in so many bytes.
-_HEAD_BYTES = 1 << 16
+#: An archive is closed and the next one begun when it has this many bytes.
+ARCHIVE_BYTES = 1 << 30
 _DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -50,7 +52,7 @@ INDEX = "file string, offset long, length long, record_type string, url string,
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """A row per page: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"))
+    rows = pages.select(quoted(id_col).cast("long").alias("page_id"), F.coalesce(quoted(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(quoted(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     light = rows.select("page_id", "url", "payload_bytes", "payload_digest")
     # pages that share their payload, with the page that holds it
@@ -87,42 +89,47 @@ def write(pages: DataFrame, out_dir: str, **columns: str) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        rows = (row for batch in batches for lo in range(0, len(batch), 64) for row in batch.slice(lo, 64).to_pylist())
         n = 0
 
-        def members(first: pa.RecordBatch) -> Iterator[bytes]:
+        def members(row: dict | None) -> Iterator[bytes]:
+            """One archive's records, beginning with row."""
             nonlocal n
-            while first is not None:
-                for lo in range(0, len(first), 64):
-                    for row in first.slice(lo, 64).to_pylist():
-                        n += 1
-                        yield _member(row)
-                first = next(batches, None)
-
-        first = next((b for b in batches if len(b)), None)
-        if first is not None:
-            write_whole(f"{out_dir}/records-{TaskContext.get().partitionId():06d}.warc.gz", members(first))
+            held = 0
+            while row is not None:
+                n += 1
+                member = _member(row)
+                held += len(member)
+                yield member
+                row = next(rows, None) if held < ARCHIVE_BYTES else None
+
+        for k, first in enumerate(iter(lambda: next(rows, None), None)):
+            write_whole(f"{out_dir}/records-{TaskContext.get().partitionId():06d}-{k:04d}.warc.gz", members(first))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    return records(pages, **columns).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # in a fixed order, so that a repeated task fills its archives with the same records
+    ordered = records(pages, **columns).sortWithinPartitions("page_id", "url", "payload_digest", "record_type")
+    return ordered.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def _walk(f, size: int) -> Iterator[tuple[int, int, bytes]]:
-    """All members of one open file: offset, length, the first bytes of the record."""
+    """All members of one open file: offset, length, the record up to the blank line behind its headers (and a little more)."""
     begin, at = 0, 0
-    unpack, head = zlib.decompressobj(31), b""
+    unpack, head = zlib.decompressobj(31), bytearray()
     raw = b""
     while at < size or raw:
         if not raw:
             raw = f.read_at(min(_WALK_BYTES, size - at), at)
             at += len(raw)
         out = unpack.decompress(raw)
-        head += out[: _HEAD_BYTES - len(head)]
+        if head.find(b"\r\n\r\n") < 0:
+            head += out
         raw = b""
         if unpack.eof:
             end = at - len(unpack.unused_data)
-            yield begin, end - begin, head
+            yield begin, end - begin, bytes(head)
             raw, begin = unpack.unused_data, end
-            unpack, head = zlib.decompressobj(31), b""
+            unpack, head = zlib.decompressobj(31), bytearray()
     if begin != size:
         raise ValueError("the archive ends inside a record")
 

@@ -374,6 +374,21 @@ def test_warc(spark):
     assert warc.write(pages.limit(0), fresh_path(spark, "warc")) == 0
 
 
+def test_warc_long_urls_and_small_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SALT_ROWS", 2)  # groups above it are dealt over salts
+    rows = [(i, "http://a/" + "u" * n, "<p>" + "z" * 2000) for i, n in enumerate([70_000, 1_000_000, 5, 65_536, 0, 131_072, 3])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for most in (warc.ARCHIVE_BYTES, 1):
+        monkeypatch.setattr(warc, "ARCHIVE_BYTES", most)
+        out = fresh_path(spark, "warc")
+        assert warc.write(pages, out) == len(rows)
+        index = warc.build_index(spark, out)
+        assert most > 1 or index.select("file").distinct().count() == len(rows)
+        assert {r["page"]: r["url"] for r in index.collect()} == {str(i): u for i, u, _ in rows}
+        got = warc.checked(index).collect()
+        assert {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got} == {i: ("response", None, 2003) if i == 6 else ("revisit", 6, 2003) for i, _, _ in rows}
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((30, 16))
