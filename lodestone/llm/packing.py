@@ -7,11 +7,14 @@ functions (the threshold family and the rounding family) give a lower bound of
 each partition's sequences.  A partition that meets its bound is certified and
 stays.  The others put the pieces of their unfilled sequences together, deal
 them anew into fewer or freshly mixed partitions and pack them again; a round
-that doesn't save sequences ends the exchange.
+that doesn't save sequences ends the exchange, and nothing else but certificates
+does.
 
 Defined cases: a null or empty text is a document of the end id alone; a
 repeated row is packed as often as it occurs; a null identifier is passed on;
-an empty table gives no rows.
+an empty table gives no rows.  A text of any length is encoded whole and cut into
+pieces; the literal of a special token in a text is that token, as the library
+has it by default.  Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +37,6 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of a partition, about.
 PART_ITEMS = 25_000
-#: Rounds of exchange at most; each must save sequences.
-ROUNDS = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, round int, part long, bin long, offset long, fill long, part_bins long, part_bound long"
@@ -123,7 +124,7 @@ def _pack(items: DataFrame, round_: int, parts: int, capacity: int) -> DataFrame
     return dealt.groupBy("part").applyInPandas(lambda f: _pack_part(f, capacity).assign(round=round_)[[*columns, "item"]], f"{PACKED}, item long")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> tuple[DataFrame, DataFrame]:
     """Places every piece; returns the placed pieces and a row per final partition with its bins and bound."""
     items = stored(items.withColumn("item", F.monotonically_increasing_id()), "pieces")
     sequence = (F.col("round") * F.lit(1 << 54) + F.col("part") * F.lit(1 << 24) + F.col("bin")).cast("long")
@@ -136,7 +137,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEM
         gap = F.col("part_bins") > F.col("part_bound")
         loose = placed.where(gap & (F.col("fill") < capacity))
         spent = loose.agg(F.count("*").alias("n"), F.countDistinct("part", "bin").alias("bins"), F.countDistinct("part").alias("parts")).first()
-        if round_ + 1 >= rounds or spent["n"] == 0 or (spent["parts"] == 1 and parts == 1):
+        if spent["n"] == 0 or (spent["parts"] == 1 and parts == 1):
             break
         parts_now = max(1, -(-spent["n"] // part_items))
         again = stored(_pack(loose.select(*[c.split()[0] for c in PIECES.split(", ")], "item"), round_ + 1, parts_now, capacity), "packed")

@@ -14,7 +14,10 @@ little-endian.
 
 Defined cases: a null text counts as empty and yields the end id alone;
 documents are ordered by identifier (null first), repeated ones in the order of
-a hash of their texts; an empty table writes no file and reads as no rows.
+a hash of their texts; an empty table writes no file and reads as no rows.  A
+text of any length is encoded whole; the literal of a special token in a text is
+that token, as the library has it by default.  Other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
