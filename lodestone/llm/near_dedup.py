@@ -11,17 +11,24 @@ candidates; a link is a pair whose exact Jaccard similarity of shingle sets is
 at least the threshold.
 
 Documents with the same shingles are one node.  In a bucket every node is
-verified against one centre, drawn anew per band.  Only where a bucket still
-holds several components are nodes of different components compared too: as
-pairs in small buckets, and in large ones inside tasks, block against block,
-which return a spanning set of links.  So no link that a bucket proposes is
-lost, and all pairs of a large group are never made as rows.
+verified against one centre, drawn anew per band; a centre's set is held in a
+task while the others pass by, and a centre of very many nodes is dealt over
+salts.  Only where a bucket still holds several components are nodes of
+different components compared too.  In small buckets that is done as pairs.  The
+nodes of large buckets are grouped anew by the shingles of their prefixes: of a
+set of n shingles, rarest first, the first n - ceil(0.8 n) + 1, of which similar
+sets always share one.  Small groups make pairs, and what is left of large
+groups is compared inside tasks, block against block, which return a spanning
+set of links.  So no link that a bucket proposes is lost, and all pairs of a
+large group are never made as rows.
 
 Defined cases: a null text counts as empty; a text without words is a class of
 its own; a text of one to four words has one shingle, of all its words; words
 are compared lower-cased (A-Z), without punctuation; a null or repeated
 identifier is kept apart by row, and the class is named by the identifier of
-its first row; an empty table gives no rows.
+its first row; an empty table gives no rows.  A text of any length is taken
+whole (its set of shingles is held by a task at once).  Other columns, whatever
+their names, are passed through by `keep_one` and left out by `near_duplicates`.
 """
 
 from __future__ import annotations
@@ -32,9 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, doc_columns, read_table, stored
+from .common import arrow_rows, doc_columns, quoted, read_table, stored, unused
 from .graph import components
 from .textbuf import buffers, chunks, mix, powers, shingles, words
 
@@ -43,8 +51,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
 #: Nodes of a bucket whose pairs across components are made as rows.
 SMALL = 32
-#: Nodes of a block of a larger bucket.
-BLOCK = 256
+#: Nodes of a block of a larger group.
+BLOCK = 1024
+#: Sets that pass by one held set in a task.
+SALT_PAIRS = 4096
 #: Rows of a batch whose rows hold whole sets.
 SET_ROWS = 256
 _ELEMENT_BITS = 44
@@ -123,20 +133,59 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity reaches the threshold; sets: rid, elements."""
-    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("elements").alias("y")), "b")
+    """The pairs (a, b) whose exact Jaccard similarity reaches the threshold; pairs: held, other, salt; sets: rid, elements.
+
+    A set is sent once for each (held, salt) and each other, not once for each pair and side.
+    """
+    held = pairs.select("held", "salt").distinct().join(sets, F.col("held") == F.col("rid")).select("held", "salt", F.lit(0).cast("long").alias("side"), "held", "elements")
+    others = pairs.join(sets, F.col("other") == F.col("rid")).select("held", "salt", F.lit(1).cast("long").alias("side"), "other", "elements")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = held.toDF("held", "salt", "side", "node", "elements").unionByName(others.toDF("held", "salt", "side", "node", "elements"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both_ = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both_ >= threshold * (len(x) + len(y) - both_))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            a, b = [], []
+            columns = [batch.column(c).to_pylist() for c in ("held", "salt", "side", "node")]
+            for h, salt, side, node, e in zip(*columns, batch.column("elements")):
+                theirs = np.frombuffer(e.as_buffer(), np.uint64)
+                if side == 0:
+                    key, mine = (h, salt), theirs.copy()
+                    continue
+                if key != (h, salt):
+                    raise ValueError("a pair without the set that it is compared with")
+                common = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if common >= threshold * (len(mine) + len(theirs) - common):
+                    a.append(min(h, node))
+                    b.append(max(h, node))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition(tasks, "held", "salt").sortWithinPartitions("held", "salt", "side").mapInArrow(run, "a long, b long")
+
+
+def _by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """band, key, members, node, n, component: nodes of several components that share a shingle of their prefixes; nodes: node, component.
+
+    Two sets of similarity t share one of the first n - ceil(t n) + 1 of their
+    elements in any order common to all; with the rarest first few others do.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 16):
+                part = batch.slice(i, 16)
+                own = [np.frombuffer(e.as_buffer(), np.uint64) for e in part.column("elements")]
+                n = np.array([len(x) for x in own], np.int64)
+                at = pa.array(np.repeat(np.arange(len(part)), n))
+                yield pa.RecordBatch.from_arrays([part.column("node").take(at), part.column("component").take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own).astype(np.int64))], names=["node", "component", "n", "key"])
+
+    rows = stored(nodes.join(sets.withColumnRenamed("rid", "node"), "node").select("node", "component", "elements").mapInArrow(spread, "node long, component long, n long, key long"), "elements")
+    often = stored(rows.groupBy("key").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")), "often")
+    rarest = W.partitionBy("node").orderBy("often", "key")
+    first = rows.join(often.select("key", "often"), "key").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (threshold - 1e-9)) + 1)
+    first = stored(first.select("key", "node", "n", "component"), "prefixes")
+    groups = stored(first.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "members"), "groups")
+    return first.join(groups, "key").select(F.lit(-1).alias("band"), "key", "members", "node", "n", "component")
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -189,8 +238,8 @@ def _blocks_compared(blocks: DataFrame, threshold: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
 
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                for row in batch.slice(lo, 256).to_pylist():
+            for lo in range(0, len(batch), 64):
+                for row in batch.slice(lo, 64).to_pylist():
                     if held and any(held[0][k] != row[k] for k in key):
                         yield flush()
                         held = []
@@ -225,8 +274,9 @@ def _classes(rows: DataFrame, unique: bool, threshold: float, size: int, bands:
     members = stored(banded.join(buckets, ["band", "key"]).select("band", "key", "members", "node", "n", "c.centre", "c.centre_n"), "members")
 
     near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold  # noqa: E731  sizes that allow the similarity
-    pairs = members.where((F.col("node") != F.col("centre")) & near(F.col("n"), F.col("centre_n"))).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
+    salts = F.ceil(F.col("members") / SALT_PAIRS).cast("int")
+    drawn = members.where((F.col("node") != F.col("centre")) & near(F.col("n"), F.col("centre_n"))).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.struct(F.col("centre").alias("held"), F.col("node").alias("other"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt")).alias("pair"))
+    pairs = stored(drawn.groupBy("a", "b").agg(F.min("pair").alias("pair")).select("a", "b", "pair.*"), "pairs")
     # the sets of all nodes that share a bucket, from one shuffle of texts at any size
     chosen = members.select(F.col("node").alias("rid")).distinct()
     sets = stored(_sets(rows.select("rid", "text").join(chosen.hint("merge"), "rid", "left_semi"), size), "sets")
@@ -239,10 +289,14 @@ def _classes(rows: DataFrame, unique: bool, threshold: float, size: int, bands:
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
     placed = stored(placed.join(mixed, ["band", "key"]), "mixed")
     few, many = placed.where(F.col("members") <= SMALL), placed.where(F.col("members") > SMALL)
+    if not many.isEmpty():
+        grouped = stored(_by_prefix(many.select("node", "component").distinct(), sets, threshold), "mixed")
+        few, many = few.unionByName(grouped.where(F.col("members") <= SMALL)), grouped.where(F.col("members") > SMALL)
     left, right = few.alias("l"), few.alias("r")
     same = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))
     apart = left.join(right, same & (F.col("l.component") != F.col("r.component")) & near(F.col("l.n"), F.col("r.n")))
-    rest = stored(apart.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = apart.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = stored(rest.select("a", "b", F.col("a").alias("held"), F.col("b").alias("other"), F.pmod(F.xxhash64("b"), F.lit(16)).cast("int").alias("salt")), "pairs")
     with arrow_rows(rows.sparkSession, SET_ROWS):
         more = [stored(verified(rest, sets, threshold), "links")] if not rest.isEmpty() else []
     if not many.isEmpty():
@@ -271,13 +325,14 @@ def _classes(rows: DataFrame, unique: bool, threshold: float, size: int, bands:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, per_band: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with all its columns."""
     rows, unique = with_row_ids(docs, id_col, text_col)
+    mine = unused(docs.columns, "rid")[0]
     if unique:
-        kept = _classes(rows, True, threshold, size, bands, per_band).where("kept").select(F.col("rid").alias("__rid"))
-        return docs.withColumn("__id", F.col(f"`{id_col}`").cast("long")).join(kept, F.col("__id") == F.col("__rid"), "left_semi").drop("__id")
-    whole = stored(docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
-    rows = whole.select(F.col("__rid").alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    kept = _classes(rows, False, threshold, size, bands, per_band).where("kept").select("rid")
-    return whole.join(kept, whole["__rid"] == kept["rid"], "left_semi").drop("__rid")
+        whole = docs.withColumn(mine, quoted(id_col).cast("long"))
+    else:
+        whole = stored(docs.withColumn(mine, F.monotonically_increasing_id()), "rows")
+        rows = whole.select(F.col(mine).alias("rid"), quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
+    kept = _classes(rows, unique, threshold, size, bands, per_band).where("kept").select(F.col("rid").alias(mine))
+    return whole.join(kept, mine, "left_semi").select(*[quoted(c) for c in docs.columns])
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
