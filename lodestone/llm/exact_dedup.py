@@ -13,7 +13,7 @@ rows that pass are joined with the runs, and a hit is a duplicate only when its
 bytes are verified.  The filter of the digests that occur more than once serves
 the deduplication of a table itself: texts of all other rows never move.
 
-A filter is broadcast up to BROADCAST_BITMAPS bitmaps (32 MB).  It is never
+A filter is broadcast up to filters.BROADCAST_BITMAPS bitmaps (32 MB).  It is never
 larger for the repeated digests: beyond that its bits are shared, so that more
 rows than needed are shuffled, but no result changes.
 
@@ -30,16 +30,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import filters
 from .common import ascii_lower, doc_columns, fresh_path, quoted, read_table, stored
+from .filters import bitmaps_for, make_filter, passing
 
 #: Rows of one group that are joined together; larger groups are salted.
 SALT_ROWS = 2_000
 #: Runs of one level that are merged into one of the next.
 FANOUT = 4
-#: Bits of a bitmap (that many bitmap_construct_agg makes), and bits of a filter for each digest.
-BITMAP_BITS, BITS_A_DIGEST = 32_768, 16
-#: Bitmaps of 4 KB up to which a filter is broadcast.
-BROADCAST_BITMAPS = 8_192
 
 _RUN = "digest binary, short long, keep_id long, n_rows long"
 
@@ -57,26 +55,6 @@ def _best(keep: str):
     return F.min if keep == "min" else F.max
 
 
-def make_filter(runs: DataFrame, bitmaps: int) -> DataFrame:
-    """bucket, bits: a bit for each short hash."""
-    bit = F.pmod(F.shiftrightunsigned("short", 20), F.lit(BITMAP_BITS)).cast("long")
-    return runs.select(F.pmod("short", F.lit(bitmaps)).alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
-def passing(rows: DataFrame, filter_: DataFrame, bitmaps: int, found: bool = True) -> DataFrame:
-    """The rows (with a column short) whose bit is set in the filter, or, if not found, the others."""
-    bit = F.pmod(F.shiftrightunsigned("short", 20), F.lit(BITMAP_BITS)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.getbit(byte, F.pmod(bit, F.lit(8)))
-    side = F.broadcast(filter_) if bitmaps <= BROADCAST_BITMAPS else filter_
-    return rows.join(side, (F.pmod("short", F.lit(bitmaps)) == F.col("bucket")) & (is_set == 1), "left_semi" if found else "left_anti")
-
-
-def bitmaps_for(n: int, most: int | None = None) -> int:
-    need = max(1, -(-n * BITS_A_DIGEST // BITMAP_BITS))
-    return need if most is None else min(need, most)
-
-
 class MergeIndex:
     """Runs of digests in a folder of the shared store; keep: which identifier of equal texts stays ("min" or "max")."""
 
@@ -141,7 +119,7 @@ class MergeIndex:
         likely = likely.groupBy("doc_id", "text", "short").agg(F.lit(1).alias("one")).withColumn("digest", F.unhex(digest(text)))
         met = stored(likely.join(self.merged().select("digest", "short", "keep_id"), ["digest", "short"]), "met")
         wanted = met.select("short").distinct()
-        bitmaps = bitmaps_for(wanted.count(), BROADCAST_BITMAPS)
+        bitmaps = bitmaps_for(wanted.count(), filters.BROADCAST_BITMAPS)
         old = doc_columns(corpus, id_col, text_col).select(F.col("doc_id").alias("keep_id"), ascii_lower(text).alias("text")).withColumn("short", short_hash(text))
         old = passing(old, stored(make_filter(wanted, bitmaps), "filter"), bitmaps).select("keep_id", "text").distinct().select(F.col("keep_id").alias("old_id"), F.col("text").alias("old_text"))
         return met.join(old, F.col("keep_id").eqNullSafe(F.col("old_id")) & (F.col("text") == F.col("old_text")), "left_semi").select("doc_id", "keep_id")
@@ -150,7 +128,7 @@ class MergeIndex:
 def _repeated(index: MergeIndex) -> tuple[DataFrame, DataFrame, int]:
     """The digests that occur more than once, their filter and its bitmaps."""
     groups = stored(index.merged().where("n_rows > 1"), "groups")
-    bitmaps = bitmaps_for(groups.count(), BROADCAST_BITMAPS)
+    bitmaps = bitmaps_for(groups.count(), filters.BROADCAST_BITMAPS)
     return groups, stored(make_filter(groups, bitmaps), "filter"), bitmaps
 
 

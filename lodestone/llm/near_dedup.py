@@ -43,6 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, doc_columns, quoted, read_table, stored, unused
+from .filters import near_keys
 from .graph import components
 from .textbuf import buffers, chunks, mix, powers, shingles, words
 
@@ -277,9 +278,9 @@ def _classes(rows: DataFrame, unique: bool, threshold: float, size: int, bands:
     salts = F.ceil(F.col("members") / SALT_PAIRS).cast("int")
     drawn = members.where((F.col("node") != F.col("centre")) & near(F.col("n"), F.col("centre_n"))).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.struct(F.col("centre").alias("held"), F.col("node").alias("other"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt")).alias("pair"))
     pairs = stored(drawn.groupBy("a", "b").agg(F.min("pair").alias("pair")).select("a", "b", "pair.*"), "pairs")
-    # the sets of all nodes that share a bucket, from one shuffle of texts at any size
-    chosen = members.select(F.col("node").alias("rid")).distinct()
-    sets = stored(_sets(rows.select("rid", "text").join(chosen.hint("merge"), "rid", "left_semi"), size), "sets")
+    # the sets of all nodes that share a bucket, from one shuffle of their texts
+    chosen = stored(members.select(F.col("node").alias("rid")).distinct(), "chosen")
+    sets = stored(_sets(near_keys(rows.select("rid", "text"), chosen, "rid").join(chosen.hint("merge"), "rid", "left_semi"), size), "sets")
     with arrow_rows(rows.sparkSession, SET_ROWS):
         links = stored(verified(pairs, sets, threshold), "links")
     found = components(links)

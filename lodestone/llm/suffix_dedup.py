@@ -4,10 +4,10 @@ Of all suffixes only those at content-selected positions are kept: the
 minimisers, the smallest hash of GRAM words in every window of WINDOW such
 hashes.  Any run of GRAM + WINDOW - 1 words that two documents share has one of
 its minimisers in both.  Suffixes whose first GRAM words occur in no other
-document go first, on hashes alone.  The others are sorted by their words over
-range partitions, neighbours of different documents are compared, and each
-match is extended to the right and to the left.  Matches of at least MIN_WORDS
-words are merged per document.
+document go first, on hashes alone.  The others are sorted by their words,
+neighbours of different documents are compared, and each match is extended to
+the right and to the left.  Matches of at least MIN_WORDS words are merged per
+document.
 
 Sorted neighbours don't show every match: a document may share its left words
 with another row of the same key than the one it shares most right words with.
@@ -15,14 +15,21 @@ So the windows of MIN_WORDS words around each kept position are hashed and
 grouped, and every window that two documents hold is a match.  Left out are
 those that the sort rules out or has found already (`_neighbours`).
 
-The edges of neighbouring range partitions (a document's run of suffixes and
-one more row at either end) are compared in a second small step, so that no
-suffix misses a neighbour.
+Only suffixes with the same first words (key) are ever compared, so that the
+suffixes are dealt by key and sorted inside partitions.  A key of more than
+HOT_ROWS suffixes is sorted over range partitions instead; there the edges of
+neighbouring partitions (a document's run of suffixes and one more row at
+either end) are compared in a second small step, so that no suffix misses a
+neighbour.
+
+Words are compared by 32 bits of their hashes, 50 in a row: that a span is
+false, or a word too long, has a chance of 2**-32 for each word at its end.
 
 Defined cases: words are compared lower-cased (A-Z), without punctuation; null,
 empty and short texts have no spans; a passage repeated only inside one
 document isn't a span; rows with a null or repeated identifier are documents of
-their own, reported under that identifier; an empty table gives no rows.
+their own, reported under that identifier; an empty table gives no rows.  A text
+of any length is taken whole; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import read_table, stored
+from .filters import near_keys
 from .near_dedup import with_row_ids
 from .textbuf import buffers, chunks, mix, powers, shingles, words
 
@@ -45,6 +53,9 @@ WINDOW = MIN_WORDS - GRAM + 1
 #: Words kept to the left and to the right of a position: what a match of MIN_WORDS can need, and more comes from the next position.
 LEFT, RIGHT = WINDOW, MIN_WORDS
 
+#: Suffixes of a key up to which one task sorts them.
+HOT_ROWS = 5_000
+
 _SUFFIX = "key long, right binary, left binary, rid long, pos long, n_left int, n_right int"
 
 
@@ -248,22 +259,34 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_i
     rows, unique = with_row_ids(docs, id_col, text_col)
     kept = stored(positions(rows.select("rid", "text"), least), "suffixes")
     # written, so that both sides of the join are dealt by it alone: a key of very many positions can then be split
-    shared = stored(kept.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("key"), "keys")
+    shared = stored(kept.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "keys")
     # a document's positions are bounded by its own length
-    places = kept.join(shared, "key", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    suffixes = stored(_suffixes(rows.select("rid", "text").join(places, "rid"), GRAM), "suffixes")
+    places = kept.join(shared.select("key"), "key", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    places = stored(places, "places")
+    suffixes = stored(_suffixes(near_keys(rows.select("rid", "text"), places.select("rid"), "rid").join(places, "rid"), GRAM), "suffixes")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [c.split()[0] for c in _SUFFIX.split(", ")]
     order = ["key", "right", "left", "rid", "pos"]
-    found = stored(_compared(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*names), least), "spans")
-    spans = found.where("start is not null and hash is null").select(F.col("edge.rid").alias("rid"), "start", "end", "other")
-    edges = found.where("start is null").select("edge.*").select(*names).distinct()  # a few rows a partition
-    between = _compared(edges.repartition(1).sortWithinPartitions(*order), least).where("start is not null and hash is null").select(F.col("edge.rid").alias("rid"), "start", "end", "other")
+    span = lambda df: df.where("start is not null and hash is null").select(F.col("edge.rid").alias("rid"), "start", "end", "other")
+    hot = shared.where(F.col("n") > HOT_ROWS).select("key")  # one for each HOT_ROWS suffixes at most
+    few = suffixes
+    if not hot.isEmpty():
+        few = suffixes.join(hot, "key", "left_anti")
+    found = _compared(few.repartition(parts, "key").sortWithinPartitions(*order).select(*names), least).where("hash is not null or start is not null")
+    found = stored(found, "spans")
+    spans = span(found)
+    if not hot.isEmpty():
+        many = stored(suffixes.join(hot, "key", "left_semi"), "hot")
+        ranged = stored(_compared(many.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*names), least), "spans")
+        edges = ranged.where("start is null and hash is null").select("edge.*").select(*names).distinct()  # a few rows a partition
+        between = _compared(edges.repartition(1).sortWithinPartitions(*order), least)
+        spans = spans.unionByName(span(ranged)).unionByName(span(between))
+        found = found.unionByName(ranged)
     windows = found.where("hash is not null").select("hash", F.col("edge.rid").alias("rid"), "start")
     meets = stored(windows.groupBy("hash").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high"), "meets")
     met = windows.join(meets, "hash").select("rid", "start", (F.col("start") + least).alias("end"), F.when(F.col("rid") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
-    every = spans.unionByName(between).unionByName(met).distinct()
+    every = spans.unionByName(met).distinct()
 
     line = W.partitionBy("rid").orderBy("start", "end", "other")
     reach = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import embedding_dedup, exact_dedup, license_scan, mixing, near_dedup, packing, queries, suffix_dedup, token_output, toxicity, warc
+from lodestone.llm import embedding_dedup, exact_dedup, filters, license_scan, mixing, near_dedup, packing, queries, suffix_dedup, token_output, toxicity, warc
 from lodestone.llm.common import fresh_path, read_table
 from lodestone.llm.tokenize import byte_encoder, word_encoder
 
@@ -83,12 +83,12 @@ def test_exact_dedup_salts(odd, monkeypatch):
     assert sorted(map(repr, exact_dedup.exact_dedup(odd.unionByName(odd)).collect())) == want
 
 
-@pytest.mark.parametrize("most", [exact_dedup.BROADCAST_BITMAPS, 0])
+@pytest.mark.parametrize("most", [filters.BROADCAST_BITMAPS, 0])
 def test_merge_index_takes_later_batches(spark, odd, none, monkeypatch, most):
     """Batches against an index of several levels; filters broadcast and joined; bytes decide where hashes collide."""
-    monkeypatch.setattr(exact_dedup, "BROADCAST_BITMAPS", max(most, 1))
+    monkeypatch.setattr(filters, "BROADCAST_BITMAPS", max(most, 1))
     if not most:
-        monkeypatch.setattr(exact_dedup, "BITMAP_BITS", 64)  # many small bitmaps
+        monkeypatch.setattr(filters, "BITMAP_BITS", 64)  # many small bitmaps
         monkeypatch.setattr(exact_dedup, "short_hash", lambda c: F.pmod(F.xxhash64(c), F.lit(7)))
     rng = random.Random(2)
     rows = [(i, f"Text {rng.randint(0, 60)}") for i in range(90)]
@@ -442,40 +442,38 @@ def test_embedding_dedup_by_brute_force(spark, monkeypatch, grids):
     assert link.sum() > 1000 and (n <= link.sum(1)).all() and n.sum() >= (0.99 if grids else 1) * link.sum()
 
 
-def test_suffix_dedup_at_partition_edges(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before, covered = spark.conf.get("spark.sql.shuffle.partitions"), []
+def brute_spans(texts):
+    """All (document, word) that stand in a run of 50 words which another document holds too."""
+    where, out = defaultdict(set), set()
+    for i, w in texts.items():
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(i)
+    for i, w in texts.items():
+        for k in range(len(w) - 49):
+            if len(where[tuple(w[k : k + 50])]) > 1:
+                out |= {(i, k + j) for j in range(50)}
+    return out
+
+
+@pytest.mark.parametrize(("parts", "hot"), [(1, 5000), (61, 5000), (1, 0), (61, 0), (61, 3)])
+def test_suffix_dedup_by_brute_force(spark, sf_dir, monkeypatch, parts, hot):
+    """Also where all or some keys are sorted over range partitions: no word is missed, none is too many."""
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for parts in (1, 61):
-            spark.conf.set("spark.sql.shuffle.partitions", parts)
-            covered.append({(r["doc_id"], w) for r in suffix_dedup.repeated_spans(docs).collect() for w in range(r["start_word"], r["end_word"])})
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        covered = {(r["doc_id"], w) for r in suffix_dedup.repeated_spans(docs).collect() for w in range(r["start_word"], r["end_word"])}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert covered[0] and covered[0] <= covered[1]
+    assert covered and covered == brute_spans({r["doc_id"]: plain_words(r["text"]) for r in docs.collect()})
 
 
-def test_suffix_dedup(odd, none, spark, sf_dir):
+def test_suffix_dedup(odd, none):
     spans = suffix_dedup.repeated_spans(odd).collect()
     assert {r["doc_id"] for r in spans} == {5, 6, 7, 8} and all(r["n_words"] >= 50 for r in spans)
     by = {r["doc_id"]: r for r in spans}
     assert (by[7]["start_word"], by[7]["end_word"], by[7]["other_doc_id"]) == (80, 140, 8) and (by[8]["start_word"], by[8]["end_word"]) == (20, 80)
     assert suffix_dedup.repeated_spans(none).count() == 0
-    docs = read_table(spark, sf_dir, "documents")
-    got = defaultdict(set)
-    for r in suffix_dedup.repeated_spans(docs).collect():
-        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
-    where = defaultdict(set)
-    texts = {r["doc_id"]: plain_words(r["text"]) for r in docs.collect()}
-    for i, w in texts.items():
-        for k in range(len(w) - 49):
-            where[tuple(w[k : k + 50])].add(i)
-    want = defaultdict(set)
-    for i, w in texts.items():
-        for k in range(len(w) - 49):
-            if len(where[tuple(w[k : k + 50])]) > 1:
-                want[i] |= set(range(k, k + 50))
-    assert set(got) == set(want) and all(got[i] <= want[i] for i in got)
-    assert sum(len(want[i] - got[i]) for i in want) <= 0.001 * sum(map(len, want.values()))
 
 
 @pytest.mark.parametrize("head", [5, 10, 20, 34, 40])
@@ -489,11 +487,7 @@ def test_suffix_dedup_with_a_hot_tail(spark, head):
         texts += [prose(60) + shared + prose(60) for _ in range(2)]
     texts += [prose(60) + tail + prose(60) for _ in range(60)]
     rng.shuffle(texts)
-    where = defaultdict(set)
-    for i, w in enumerate(texts):
-        for k in range(len(w) - 49):
-            where[tuple(w[k : k + 50])].add(i)
-    want = {(i, k + j) for i, w in enumerate(texts) for k in range(len(w) - 49) if len(where[tuple(w[k : k + 50])]) > 1 for j in range(50)}
+    want = brute_spans(dict(enumerate(texts)))
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     got = {(r["doc_id"], w) for r in suffix_dedup.repeated_spans(docs).collect() for w in range(r["start_word"], r["end_word"])}
     assert want and got == want
