@@ -25,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_mix_sources": mixing.OP4_SQL,
         "op6_warc": warc.OP6_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op9_license_scan": license_scan.OP9_SQL,
     }
