@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import copy
+import time as clock
 from collections.abc import Callable
 from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .errors import InvalidQuery, UnknownRelation
+from .errors import InvalidQuery, UnknownRelation, WriteConflict
 from .functions.expressions import bind
 from .functions.extras import Cache, Events
 from .operators.query import Query
@@ -43,8 +44,8 @@ class RawQuery:
         return self.df().toLocalIterator()
 
     def exec(self) -> int:
-        """Runs a statement; the number of rows that it returns."""
-        return len(self.df().collect())
+        """Runs a statement; the number of rows that it returns (0 for one that only changes something), counted by the cluster."""
+        return self.df().count()
 
     def map_to(self, make: type) -> list[Any]:
         return [make(**r.asDict(recursive=True)) for r in self.get()]
@@ -70,13 +71,31 @@ class Engine:
         return self
 
     def with_extension(self, name: str, extension: Any) -> Engine:
+        """Adds an extension: an object with any of these methods.
+
+        install(engine); on_query(engine, query) -> query; on_write(engine, context);
+        connection(engine, table) -> name or None; shard_values(engine) and
+        cache_key(engine) -> dict; events() -> handlers by name; state() -> anything.
+        """
         if name in self.extensions:
             raise InvalidQuery(f"extension {name} is there already")
         self.extensions[name] = extension
         if hasattr(extension, "install"):
             extension.install(self)
+        for event, handler in extension.events().items() if hasattr(extension, "events") else ():
+            self.events.on(event, handler)
+        if hasattr(extension, "state"):
+            self.state[name] = extension.state()
         return self
 
+    def asked(self, method: str) -> dict[str, Any]:
+        """What all extensions answer to shard_values or cache_key, together."""
+        return {k: v for x in self.extensions.values() if hasattr(x, method) for k, v in getattr(x, method)(self).items()}
+
+    def _connection_of(self, table: str, model: Model | None) -> str | None:
+        asked = (x.connection(self, table) for x in self.extensions.values() if hasattr(x, "connection"))
+        return self._connection or (model.connection if model else None) or next((name for name in asked if name), None)
+
     def tenant(self, **values: Any) -> Engine:
         """A session whose reads and writes are limited to these tenant values."""
         out = copy.copy(self)
@@ -99,7 +118,7 @@ class Engine:
 
     def query_of(self, table: str) -> Query:
         model = self.registry.models.get(table)
-        return Query(self, lambda: self.catalog.load(table, self._connection or (model.connection if model else None)), table.rpartition(".")[2], model)
+        return Query(self, lambda: self.catalog.load(table, self._connection_of(table, model)), table.rpartition(".")[2], model)
 
     def use(self, model: Model | str) -> Query:
         table = model if isinstance(model, str) else model.table
@@ -140,8 +159,25 @@ class Engine:
         try:
             with store.transaction() as staged:
                 yield staged
+        except BaseException:
+            if not was:
+                self.events.emit("after_rollback", {})
+            raise
         finally:
             self.in_transaction = was
+        if not was:
+            self.events.emit("after_commit", {})
+
+    def run(self, store: Any, fn: Callable[[Any], Any], attempts: int = 3, wait: float = 0.05) -> Any:
+        """Runs fn in a transaction, again where another writer was faster, with growing pauses."""
+        for attempt in range(attempts):
+            try:
+                with self.transaction(store) as staged:
+                    return fn(staged)
+            except WriteConflict:
+                if attempt + 1 == attempts or self.in_transaction:
+                    raise
+                clock.sleep(wait * 2**attempt)
 
 
 class _Loose(Model):

@@ -59,3 +59,19 @@ class UnsafeSchemaChange(LodestoneError):
 
 class ShardMismatch(LodestoneError):
     kind = "shard_mismatch"
+
+
+class WriteConflict(LodestoneError):
+    """Another writer committed since this one began; it may try again."""
+
+    kind = "write_conflict"
+
+
+class TenantMismatch(LodestoneError):
+    """A key belongs to another tenant."""
+
+    kind = "tenant_mismatch"
+
+
+class RelationNotLoaded(LodestoneError):
+    kind = "relation_not_loaded"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -26,7 +27,14 @@ class FullText:
         wanted = self._query(query)
         if not wanted:
             return Cond(lambda r: F.lit(False))
-        return Cond(lambda r: F.size(F.array_except(F.array(*map(F.lit, wanted)), self._tokens(r))) == 0)
+
+        def build(r) -> Column:
+            # texts without a word's letters are told apart before they are split
+            text = F.lower(F.concat_ws(" ", *[F.coalesce(r(n), F.lit("")) for n in self.names]))
+            likely = functools.reduce(lambda a, b: a & b, [F.contains(text, F.lit(w)) for w in wanted])
+            return F.when(likely, F.size(F.array_except(F.array(*map(F.lit, wanted)), self._tokens(r))) == 0).otherwise(False)
+
+        return Cond(build)
 
     def score(self, query: str) -> ScoreExpr:
         return ScoreExpr(self, self._query(query))

@@ -344,7 +344,7 @@ class Query:
         return self.scope(*fns) if flag else self
 
     def apply(self, *plugins: Any) -> Query:
-        """Plugins with on_query(query), and on_rows(rows) after a terminal verb."""
+        """Plugins: objects with any of on_query(query) -> query before a read, on_rows(rows) -> rows after one, on_write(context) around writes (see WriteContext), finish(query) after all others."""
         return self._also("plugins", *plugins)
 
     def with_deleted(self) -> Query:
@@ -400,10 +400,19 @@ class Query:
     def _rows(self, df: DataFrame) -> list[Row]:
         from ..functions import extras
 
-        began = clock.time()
-        run = lambda: extras.with_timeout(self.engine.spark, df.collect, self.spec.timeout)
-        if self.spec.cache_ttl is not None and not self.engine.in_transaction:
-            rows = self.engine.cache.remember(self.spec.cache_key or extras.plan_key(df, self.engine.tenant_values()), self.spec.cache_ttl, self.spec.cache_tags, run)
+        began, engine = clock.time(), self.engine
+        emit = (lambda *a: None) if self.spec.skip_events else engine.events.emit
+
+        def run() -> list[Row]:
+            emit("before_sql", {"table": self._name})
+            rows = extras.with_timeout(engine.spark, df.collect, self.spec.timeout)
+            emit("after_sql", {"table": self._name, "rows": len(rows), "seconds": clock.time() - began})
+            return rows
+
+        if self.spec.cache_ttl is not None and not engine.in_transaction:
+            key = self.spec.cache_key or extras.plan_key(df, {**engine.tenant_values(), **engine.asked("cache_key")})
+            emit("after_cache_hit" if engine.cache.has(key) else "after_cache_miss", {"table": self._name, "key": key})
+            rows = engine.cache.remember(key, self.spec.cache_ttl, self.spec.cache_tags, run)
         else:
             rows = run()
         for plugin in self.spec.plugins:
@@ -412,6 +421,10 @@ class Query:
         if self.model is not None and not self.spec.skip_hooks:
             for fn in self.model.hooks.get("after_find", []):
                 rows = [fn(r) or r for r in rows]
+        for plugin in self.spec.plugins:
+            if hasattr(plugin, "finish"):
+                plugin.finish(self)
+        emit("after_find", {"table": self._name, "rows": len(rows)})
         if not self.spec.skip_events:
             self.engine.events.emit("query", {"table": self._name, "rows": len(rows), "seconds": clock.time() - began})
         return rows

@@ -99,3 +99,12 @@ def check_write(strategy: Any, old: dict[str, Any] | None, new: dict[str, Any],
             raise ShardMismatch(f"{strategy.column} = {new[strategy.column]} isn't in that shard")
         if old is not None and old.get(strategy.column) != new[strategy.column]:
             raise ShardMismatch("a shard key can't be changed")
+
+
+def guarded(rows: DataFrame, strategy: Any, shard: Any) -> DataFrame:
+    """Bulk rows that belong to the chosen shard; one that doesn't is an error when it is written."""
+    if strategy.column not in rows.columns:
+        return rows
+    right = strategy.key() == F.lit(strategy.of(shard))
+    wrong = F.raise_error(F.concat(F.lit(f"{strategy.column} isn't in that shard: "), F.coalesce(F.col(strategy.column).cast("string"), F.lit("null"))))
+    return rows.withColumn(strategy.column, F.when(F.coalesce(right, F.lit(False)), F.col(strategy.column)).otherwise(wrong.cast(rows.schema[strategy.column].dataType)))

@@ -7,7 +7,6 @@ pass; a rebuild numbers the nodes from their parents by sorted paths.
 from __future__ import annotations
 
 import functools
-import tempfile
 from dataclasses import dataclass
 from typing import Any
 
@@ -16,20 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..errors import InvalidArgument
+from ..functions.expressions import Cond
+from ..plans.materialize import written as _written
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, tables)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows are written to the checkpoint folder (spark.checkpoint.dir, or where it is unset, as in tests, one of our own)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
-    return df.checkpoint()
-
-
 @dataclass(frozen=True)
 class Tree:
     """A table of nodes; scope: columns that tell trees of one table apart."""
@@ -97,14 +90,35 @@ class Tree:
         base = self._node(key)[self.depth]
         return self.descendants(key).withColumn("relative_depth", F.col(self.depth) - F.lit(base))
 
+    def _paths(self, order: str | None = None) -> DataFrame:
+        """scope columns, __id, __path (keys from the root down to the row) of all rows that a root reaches.
+
+        Every round doubles the way that a row has gone up, so that a tree of
+        depth d takes about log(d) joins.  A round that brings no row to its
+        root leaves those of cycles, which have none.
+        """
+        key = F.struct(*[F.col(c) for c in dict.fromkeys([order or self.lft, self.id])])
+        scope = list(self.scope)
+        if not self.table.groupBy(self.id).count().where("count > 1").isEmpty():
+            raise InvalidArgument("an identifier occurs twice")
+        state = _written(self.table.select(*scope, F.col(self.id).alias("__id"), F.col(self.parent).alias("__top"), F.array(key).alias("__path")))
+        every, done, before = state, [], None
+        while True:
+            done.append(state.where(F.col("__top").isNull()))
+            open_ = state.where(F.col("__top").isNotNull())
+            now = open_.count()
+            if now in (0, before):
+                break
+            before = now
+            up = every.select(*scope, F.col("__id").alias("__up"), F.col("__top").alias("__next"), F.col("__path").alias("__above"))
+            state = _written(open_.drop(*scope).join(up, F.col("__top") == F.col("__up")).select(*scope, "__id", F.col("__next").alias("__top"), F.concat("__above", "__path").alias("__path")))
+            every = _union([*done, state])
+        return _written(_union(done)).drop("__top")
+
     def ancestor_pairs(self) -> DataFrame:
-        """Every (ancestor, descendant) of the whole table: a range join inside each scope."""
-        a = self.table.select(*[F.col(s).alias(f"__{s}") for s in self.scope], F.col(self.id).alias("ancestor_id"), F.col(self.lft).alias("__l"), F.col(self.rgt).alias("__r"), F.col(self.depth).alias("__d"))
-        d = self.table
-        on = (F.col(self.lft) > F.col("__l")) & (F.col(self.rgt) < F.col("__r"))
-        for s in self.scope:
-            on = on & F.col(s).eqNullSafe(F.col(f"__{s}"))
-        return a.join(d, on).select("ancestor_id", F.col(self.id).alias("descendant_id"), (F.col(self.depth) - F.col("__d")).alias("distance"))
+        """Every (ancestor, descendant) of the whole table, from the parents; work in proportion to the pairs."""
+        above = self._paths(self.id).select(F.col("__id").alias("descendant_id"), F.size("__path").alias("n"), F.posexplode("__path").alias("at", "key"))
+        return above.where(F.col("at") < F.col("n") - 1).select(F.col(f"key.{self.id}").alias("ancestor_id"), "descendant_id", (F.col("n") - 1 - F.col("at")).alias("distance"))
 
     # tests of rows
 
@@ -190,28 +204,15 @@ class Tree:
         return {**a, **b}
 
     def rebuild(self, order: str | None = None) -> DataFrame:
-        """Bounds and depths from the parents alone: paths level by level, sorted and numbered.
+        """Bounds and depths from the parents alone: paths sorted and numbered over range partitions.
 
         Rows that no root reaches (orphans, cycles and what is below them) stay as they are.
         """
         spark, scope = self.table.sparkSession, list(self.scope)
-        key = F.struct(*[F.col(c) for c in dict.fromkeys([order or self.lft, self.id])])
-        base = self.table.withColumn("__key", key)
-        edges = _written(base.where(F.col(self.parent).isNotNull()).select(F.col(self.id).alias("__child"), F.col(self.parent).alias("__up"), F.col("__key").alias("__own")))
-        level = _written(base.where(F.col(self.parent).isNull()).select(*scope, F.col(self.id).alias("__id"), F.array("__key").alias("__path")))
-        levels, most = [level], edges.count()
-        while True:
-            level = _written(level.join(edges, F.col("__id") == F.col("__up")).select(*scope, F.col("__child").alias("__id"), F.concat("__path", F.array("__own")).alias("__path")))
-            if level.isEmpty():
-                break
-            if len(levels) > most:  # a path longer than all rows: an identifier that occurs twice closes a cycle
-                raise InvalidArgument("a root reaches a cycle")
-            levels.append(level)
-        while len(levels) > 1:  # unions of a few tables each
-            levels = [_written(_union(levels[i : i + 32])) for i in range(0, len(levels), 32)]
+        paths = self._paths(order)
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         sort = [*scope, "__path"]
-        placed = _written(levels[0].repartitionByRange(parts, *sort).withColumn("__part", F.spark_partition_id()))
+        placed = _written(paths.repartitionByRange(parts, *sort).withColumn("__part", F.spark_partition_id()))
         # the rows of earlier partitions, of which there are few per scope
         counts = placed.groupBy(*scope, "__part").agg(F.count("*").alias("__many"))
         before = F.coalesce(F.sum("__many").over(W.partitionBy(*scope).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -242,3 +243,79 @@ class Tree:
             (stack[-1]["children"] if stack else out).append(node)
             stack.append(node)
         return out
+
+
+@dataclass(frozen=True)
+class Verbs:
+    """Conditions and orders of trees for any query: query.scope(verbs.descendants_of(node)).
+
+    A node is a row (or dict) with its bounds, depth and scope columns; names are
+    the query's fields.
+    """
+
+    id: str = "id"
+    parent: str = "parent_id"
+    lft: str = "lft"
+    rgt: str = "rgt"
+    depth: str = "depth"
+    scope: tuple[str, ...] = ()
+
+    def _verb(self, test):
+        return lambda query: query.where(Cond(test))
+
+    def _near(self, node: Any, test):
+        node = node.asDict() if hasattr(node, "asDict") else node
+
+        def build(r):
+            out = test(r, node)
+            for s in self.scope:
+                out = out & r(s).eqNullSafe(F.lit(node[s]))
+            return out
+
+        return self._verb(build)
+
+    def in_scope(self, **values: Any):
+        return self._verb(lambda r: functools.reduce(lambda a, b: a & b, [r(k).eqNullSafe(F.lit(v)) for k, v in values.items()], F.lit(True)))
+
+    def roots(self):
+        return self._verb(lambda r: r(self.parent).isNull())
+
+    def leaves(self):
+        return self._verb(lambda r: r(self.rgt) - r(self.lft) == 1)
+
+    def at_depth(self, depth: int):
+        return self._verb(lambda r: r(self.depth) == depth)
+
+    def at_least_depth(self, depth: int):
+        return self._verb(lambda r: r(self.depth) >= depth)
+
+    def at_most_depth(self, depth: int):
+        return self._verb(lambda r: r(self.depth) <= depth)
+
+    def ancestors_of(self, node: Any, itself: bool = False):
+        if itself:
+            return self._near(node, lambda r, n: (r(self.lft) <= n[self.lft]) & (r(self.rgt) >= n[self.rgt]))
+        return self._near(node, lambda r, n: (r(self.lft) < n[self.lft]) & (r(self.rgt) > n[self.rgt]))
+
+    def descendants_of(self, node: Any, itself: bool = False, within: int | None = None, at: int | None = None):
+        """within: levels below the node at most; at: exactly."""
+
+        def test(r, n):
+            out = (r(self.lft) >= n[self.lft]) & (r(self.rgt) <= n[self.rgt]) if itself else (r(self.lft) > n[self.lft]) & (r(self.rgt) < n[self.rgt])
+            if within is not None:
+                out = out & (r(self.depth) <= n[self.depth] + within)
+            return out & (r(self.depth) == n[self.depth] + at) if at is not None else out
+
+        return self._near(node, test)
+
+    def children_of(self, node: Any):
+        return self._near(node, lambda r, n: r(self.parent) == F.lit(n[self.id]))
+
+    def siblings_of(self, node: Any, itself: bool = False):
+        return self._near(node, lambda r, n: r(self.parent).eqNullSafe(F.lit(n[self.parent])) & (F.lit(itself) | (r(self.id) != F.lit(n[self.id]))))
+
+    def in_order(self):
+        return lambda query: query.order_by(*self.scope, self.lft)
+
+    def reversed(self):
+        return lambda query: query.order_by_desc(*self.scope, self.lft)

@@ -11,21 +11,28 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidArgument, StaleData, UnsafeWrite
 from ..functions.expressions import Cond, Increment, Raw, value_of
+from ..plans.materialize import written
 from ..schema import Model
 
 
 @dataclass
 class Change:
-    """A new table and the numbers of rows that were changed."""
+    """A new table and how many rows were changed.
+
+    ids: the keys of rows that were given one by one; rows: the changed rows as
+    they are now (as they were, where they were removed), for bulk writes too.
+    """
 
     table: DataFrame
     affected: int
     ids: list[Any] = field(default_factory=list)
+    rows: DataFrame | None = None
 
     @property
     def first_id(self) -> Any:
@@ -36,8 +43,22 @@ def _truth(cond: Cond) -> Column:
     return F.coalesce(cond.build(F.col), F.lit(False))
 
 
-def insert(table: DataFrame, rows: DataFrame, model: Model | None = None, now: dt.datetime | None = None, only: tuple[str, ...] = (), omit: tuple[str, ...] = (), tenant: dict[str, Any] | None = None) -> Change:
-    """Appends rows; missing columns get the model's defaults, missing keys follow the largest one."""
+def _numbered(rows: DataFrame, key: str, base: int) -> DataFrame:
+    """Missing keys follow base by the row's place: partitions are counted, then each row adds its place inside, without a shuffle."""
+    placed = written(rows.withColumn("__at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__many"))
+    before = F.coalesce(F.sum("__many").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", before.alias("__before"))  # a row of two numbers per partition
+    number = (F.lit(base) + F.col("__before") + inside + 1).cast(rows.schema[key].dataType)
+    return placed.join(F.broadcast(offsets), part == F.col("__part")).withColumn(key, F.coalesce(F.col(key), number)).select(*rows.columns)
+
+
+def insert(table: DataFrame, rows: DataFrame, model: Model | None = None, now: dt.datetime | None = None, only: tuple[str, ...] = (), omit: tuple[str, ...] = (), tenant: dict[str, Any] | None = None, few: bool = False) -> Change:
+    """Appends rows; missing columns get the model's defaults, missing keys follow the largest one.
+
+    few: the rows were given one by one on the driver; only then their keys are listed.
+    """
     if only:
         rows = rows.select(*[c for c in rows.columns if c in only])
     rows = rows.drop(*omit)
@@ -46,11 +67,10 @@ def insert(table: DataFrame, rows: DataFrame, model: Model | None = None, now: d
     pk = model.primary if model else None
     if pk and pk not in rows.columns:
         rows = rows.withColumn(pk, F.lit(None).cast(table.schema[pk].dataType))
-    if pk:
-        # numbers without a sort of all rows in one task: offsets per partition would do for bulk; rows given to a write are few
-        base = table.agg(F.coalesce(F.max(pk), F.lit(0)).alias("m")).first()["m"]
-        number = F.row_number().over(W.partitionBy(F.col(pk).isNull()).orderBy(F.monotonically_increasing_id()))
-        rows = rows.withColumn(pk, F.coalesce(F.col(pk), (F.lit(base) + number).cast(table.schema[pk].dataType)))
+    if pk and isinstance(table.schema[pk].dataType, T.IntegralType):
+        rows = rows.withColumn(pk, F.col(pk).cast(table.schema[pk].dataType))
+        base = table.select(pk).unionByName(rows.select(pk)).agg(F.coalesce(F.max(pk), F.lit(0)).alias("m")).first()["m"]
+        rows = _numbered(rows, pk, base)
     stamp = F.lit((now or dt.datetime.now(dt.timezone.utc)).replace(tzinfo=None).isoformat(sep=" "))
     made = {}
     for f in table.schema.fields:
@@ -70,8 +90,8 @@ def insert(table: DataFrame, rows: DataFrame, model: Model | None = None, now: d
     if model:
         rows = _validated(rows, model)
     new = rows.select(*[v.alias(k) for k, v in made.items()])
-    ids = [r[0] for r in new.select(pk).collect()] if pk else []
-    return Change(table.unionByName(new), len(ids) if pk else new.count(), ids)
+    ids = [r[0] for r in new.select(pk).collect()] if pk and few else []
+    return Change(table.unionByName(new), len(ids) if ids else new.count(), ids, new)
 
 
 def _validated(rows: DataFrame, model: Model) -> DataFrame:
@@ -113,25 +133,25 @@ def update(table: DataFrame, cond: Cond | None, values: dict[str, Any], model: M
     affected = table.where(match).count()
     if check_version is not None and not affected:
         raise StaleData(f"{model.table}: version {check_version} has passed")
-    return Change(table.withColumns(made), affected)
+    return Change(table.withColumns(made), affected, rows=table.where(match).withColumns(made))
 
 
-def delete(table: DataFrame, cond: Cond | None, model: Model | None = None, force: bool = False, now: dt.datetime | None = None) -> Change:
-    """Removes rows; where the model has a deletion mark, sets it instead."""
+def delete(table: DataFrame, cond: Cond | None, model: Model | None = None, force: bool = False, now: dt.datetime | None = None, also: dict[str, Any] | None = None) -> Change:
+    """Removes rows; where the model has a deletion mark, sets it (and `also`) instead."""
     if cond is None:
         raise UnsafeWrite("a delete needs a condition")
     if model and model.deleted and not force:
         live = Cond(lambda r: cond.build(r) & F.col(model.deleted).isNull())
-        return update(table, live, {model.deleted: (now or dt.datetime.now(dt.timezone.utc)).replace(tzinfo=None)}, model, now)
+        return update(table, live, {**(also or {}), model.deleted: (now or dt.datetime.now(dt.timezone.utc)).replace(tzinfo=None)}, model, now)
     match = _truth(cond)
-    return Change(table.where(~match), table.where(match).count())
+    return Change(table.where(~match), table.where(match).count(), rows=table.where(match))
 
 
-def restore(table: DataFrame, cond: Cond | None, model: Model, now: dt.datetime | None = None) -> Change:
+def restore(table: DataFrame, cond: Cond | None, model: Model, now: dt.datetime | None = None, also: dict[str, Any] | None = None) -> Change:
     if cond is None:
         raise UnsafeWrite("a restore needs a condition")
     gone = Cond(lambda r: cond.build(r) & F.col(model.deleted).isNotNull())
-    return update(table, gone, {model.deleted: None}, model, now)
+    return update(table, gone, {**(also or {}), model.deleted: None}, model, now)
 
 
 class Conflict:
@@ -198,8 +218,9 @@ def upsert(table: DataFrame, rows: DataFrame, conflict: Conflict, model: Model |
             met = F.lit(stamp).cast(f.dataType)
         out.append(F.when(both, met).when(F.col("__new"), fresh).otherwise(F.col(f"o.{c}")).alias(c))
     joined = old.join(new, on, "full")
-    changed = rows.count() if conflict.action != "nothing" else rows.join(table.select(*keys), keys, "left_anti").count()
-    return Change(joined.select(*out), changed)
+    fresh = rows.join(table.select(*keys), keys, "left_anti")
+    done = joined.select(*out)
+    return Change(done, rows.count() if conflict.action != "nothing" else fresh.count(), rows=done.join((rows if conflict.action != "nothing" else fresh).select(*keys), keys, "left_semi"))
 
 
 # links of relations
@@ -235,11 +256,11 @@ def sync(link: DataFrame, local: str, foreign: str, source: Any, targets: list[A
     return Change(added.table, removed.affected + added.affected)
 
 
-def set_foreign(table: DataFrame, model: Model, key: Any, foreign: str, value: Any, still: Any = None, type_: tuple[str, Any] | None = None) -> Change:
-    """Points a child at a parent (or at none, only while it still points at `still`)."""
+def set_foreign(table: DataFrame, model: Model, keys: list[Any], foreign: str, value: Any, still: Any = None, type_: tuple[str, Any] | None = None) -> Change:
+    """Points children at a parent (or at none, only while they still point at `still`), all in one pass."""
 
     def build(r):
-        out = F.col(model.primary) == F.lit(key)
+        out = F.col(model.primary).isin(*keys)
         return out & (F.col(foreign) == F.lit(still)) if still is not None else out
 
     values = {foreign: value} | ({type_[0]: type_[1]} if type_ else {})

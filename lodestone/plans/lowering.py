@@ -39,8 +39,9 @@ def scoped(query: Query) -> DataFrame:
                 if name not in values:
                     raise TenantRequired(f"{model.table} needs {name}")
                 df = df.where(F.col(model.column(name)) == F.lit(values[name]))
-        if model.shard is not None and query.spec.shard is not None and not query.spec.all_shards:
-            df = model.shard.only(df, query.spec.shard)
+        if model.shard is not None and not query.spec.all_shards:
+            shard = query.spec.shard if query.spec.shard is not None else engine.asked("shard_values").get(model.shard.column)
+            df = model.shard.only(df, shard) if shard is not None else df
         if model.deleted and query.spec.deleted != "with":
             mark = F.col(model.deleted)
             df = df.where(mark.isNull() if query.spec.deleted == "without" else mark.isNotNull())
@@ -50,6 +51,8 @@ def scoped(query: Query) -> DataFrame:
 def lower(query: Query) -> DataFrame:
     for plugin in query.spec.plugins:  # plugins may change the query
         query = plugin.on_query(query) if hasattr(plugin, "on_query") else query
+    for extension in query.engine.extensions.values():
+        query = extension.on_query(query.engine, query) if hasattr(extension, "on_query") else query
     spec, resolve = query.spec, resolver(query)
     df = scoped(query)
     for j in spec.joins:

@@ -42,7 +42,7 @@ def diff(model: Model, current: T.StructType | None, last: T.StructType | None =
             out.append(SchemaChange("unsafe", c, why="a new column without nulls needs a default"))
         else:
             out.append(SchemaChange("add_column", c))
-    out += [SchemaChange("unsafe", g, why="the model has no such column") for g in gone if g not in renamed and not any(x.kind == "unsafe" for x in out)]
+    out += [SchemaChange("unsafe", g, why="the model has no such column") for g in gone if g not in renamed]
     for c, f in want.items():
         if c in have and have[c].dataType != f.type:
             out.append(SchemaChange("unsafe", c, why=f"{have[c].dataType.simpleString()} can't become {f.type.simpleString()}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Callable
 
@@ -9,17 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .errors import InvalidArgument, StaleData, TenantMismatch
 from .functions.calendar import time
 from .functions.expressions import Agg, Raw, all_of, any_of, avg, col, count, decrement, increment, max_, min_, outer, sum_
+from .functions.extras import EVENTS, loaded, serialize
 from .functions.full_text import full_text
 from .functions.json_path import json
 from .operators import writes
+from .operators.audit import LOG, Audit
 from .operators.query import Query
 from .operators.retention import Retention
 from .operators.shards import HashShard, ModShard, RangeShard, fan_out
 from .operators.translation import Translations
-from .operators.tree import Tree
+from .operators.tree import Tree, Verbs
+from .operators.writer import Writer
+from .plans import schema_sync
 from .schema import Model
+from .sources.snapshots import Unsaved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -698,6 +705,340 @@ def translation_overlay(e):
     return Translations(("n_name",), fallback="en-US").overlay(t, "zh-CN").select("n_nationkey", "n_name")
 
 
+@query("""
+WITH RECURSIVE t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 130 <> 0 AND c_custkey > 1 THEN c_custkey - 1 END AS parent_id FROM customer),
+d AS (SELECT id, id AS root, 0 AS depth FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, d.root, d.depth + 1 FROM d JOIN t ON t.parent_id = d.id),
+n AS (SELECT *, row_number() OVER (ORDER BY root, depth) AS n, count(*) OVER (PARTITION BY root) - depth AS size FROM d)
+SELECT id, (2 * n - 1 - depth)::INTEGER AS lft, (2 * n - 1 - depth + 2 * size - 1)::INTEGER AS rgt, depth::INTEGER AS depth FROM n
+""")
+def tree_rebuild_deep(e):
+    """Chains of 130 levels."""
+    nodes = e.catalog.load("customer").select(F.col("c_custkey").alias("id"), F.when((F.col("c_custkey") % 130 != 0) & (F.col("c_custkey") > 1), F.col("c_custkey") - 1).alias("parent_id"))
+    return Tree(nodes.withColumns({c: F.lit(0) for c in ("lft", "rgt", "depth")})).rebuild(order="id").select("id", "lft", "rgt", "depth")
+
+
+_VERBS = Verbs()
+
+
+@query(f"WITH {_TREE} SELECT id FROM tree WHERE depth = 1 AND lft > (SELECT lft FROM tree WHERE id = 3) AND rgt < (SELECT rgt FROM tree WHERE id = 3) ORDER BY lft DESC LIMIT 3")
+def tree_verbs_descendants(e):
+    t = _tree(e)
+    return e.from_(t.table, "t").scope(_VERBS.descendants_of(t._node(3), at=1), _VERBS.reversed()).limit(3).select("id")
+
+
+@query(f"WITH {_TREE} SELECT id FROM tree WHERE (id IN (1, 107) OR parent_id = 1 AND id <> 107 OR depth = 0) AND lft <= (SELECT rgt FROM tree WHERE id = 1)")
+def tree_verbs_mixed(e):
+    t = _tree(e)
+    q, node = e.from_(t.table, "t").where(col("lft").lte(t._node(1)["rgt"])), t._node(107)
+    parts = [q.scope(v).select("id").df() for v in (_VERBS.ancestors_of(node, itself=True), _VERBS.siblings_of({**node, "parent_id": 1}), _VERBS.roots())]
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
+
+
+@query(f"WITH {_TREE} SELECT id, depth, (SELECT count(*) FROM tree c WHERE c.parent_id = t.id) AS children FROM tree t")
+def tree_nested(e):
+    out = []
+
+    def walk(nodes, depth):
+        for n in nodes:
+            out.append((n["id"], depth, len(n["children"])))
+            walk(n["children"], depth + 1)
+
+    walk(_tree(e).nested(), 0)
+    return e.spark.createDataFrame(out, "id int, depth int, children long")
+
+
+@query(f"WITH {_TREE} SELECT d.id, d.lft > a.lft AND d.rgt < a.rgt AS below, d.rgt - d.lft = 1 AS leaf FROM tree d, tree a WHERE a.id = 2 AND d.id IN (102, 108, 112)")
+def tree_predicates(e):
+    t = _tree(e)
+    leaf = {r["id"]: r["leaf"] for r in t.table.where(F.col("id").isin(102, 108, 112)).select("id", t.is_leaf().alias("leaf")).collect()}
+    return e.spark.createDataFrame([(k, t.is_descendant(k, 2), leaf[k]) for k in leaf], "id int, below boolean, leaf boolean")
+
+
+# terminals, sources, plugins
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_custkey < 50")
+def raw_exec(e):
+    return e.spark.createDataFrame([(e.views("orders").raw("SELECT o_orderkey FROM orders WHERE o_custkey < ?", 50).exec(),)], "n long")
+
+
+@dataclasses.dataclass
+class NationName:
+    n_nationkey: int
+    n_name: str
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def typed_mapping(e):
+    made = e.use("nation").where("n_regionkey", 2).select("n_nationkey", "n_name").map_to(NationName)
+    return e.spark.createDataFrame([dataclasses.astuple(x) for x in made], "n_nationkey int, n_name string")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
+def named_connection(e):
+    e.catalog.connections["archive"] = e.catalog.connections["default"]
+    return e.connection("archive").use("nation").where("n_regionkey", 1).select("n_nationkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 4")
+def table_prefix(e):
+    """A prefix is put before a logical name: cust and omer."""
+    return Engine(e.spark, e.catalog.connections["default"].path, prefix="cust").table("omer").where("c_nationkey", 4).select("c_custkey")
+
+
+@query("SELECT p_partkey, p_brand || '/' || p_size AS label FROM part WHERE p_size < 5")
+def virtual_field(e):
+    m = Model("part").field("p_partkey", "bigint", primary=True).field("p_brand", "string").field("p_size", "int").field("label", "string", virtual=True)
+    return e.register(m).use("part").where("p_size", "<", 5).select("p_partkey", Raw("concat(p_brand, '/', p_size)").as_("label"))
+
+
+@query("SELECT r_regionkey, r_regionkey < 3 AS there FROM region")
+def terminal_exists(e):
+    found = [(k, e.use("nation").where("n_regionkey", k).where("n_regionkey", "<", 3).exists()) for k in range(5)]
+    return e.spark.createDataFrame(found, "r_regionkey int, there boolean")
+
+
+@query("(SELECT 'first' AS how, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) UNION ALL (SELECT 'find', 7)")
+def terminal_first_find(e):
+    q = e.use("orders")
+    return e.spark.createDataFrame([("first", q.order_by_desc("o_totalprice").order_by("o_orderkey").first()["o_orderkey"]), ("find", q.find(7)["o_orderkey"])], "how string, o_orderkey long")
+
+
+@query("SELECT s_suppkey, ((row_number() OVER (ORDER BY s_suppkey) - 1) // 7)::INTEGER AS page FROM supplier")
+def terminal_chunk(e):
+    out = []
+    e.use("supplier").select("s_suppkey").order_by("s_suppkey").chunk(7, lambda rows: out.append([r["s_suppkey"] for r in rows]))
+    return e.spark.createDataFrame([(k, i) for i, page in enumerate(out) for k in page], "s_suppkey long, page int")
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_name) - 1)::INTEGER AS at, n_name FROM nation")
+def terminal_stream_each(e):
+    q, each = e.use("nation").select("n_name").order_by("n_name"), []
+    q.each(lambda r: each.append(r["n_name"]), 10)
+    streamed = [r["n_name"] for r in q.stream()]
+    return e.spark.createDataFrame([(i, n) for i, n in enumerate(streamed) if each[i] == n], "at int, n_name string")
+
+
+@query("SELECT r_regionkey, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+def access_loaded(e):
+    rows = e.use("region").with_("nations").get()
+    return e.spark.createDataFrame([(r["r_regionkey"], len(loaded(r, "nations"))) for r in rows], "r_regionkey int, n long")
+
+
+@query(f"SELECT o.o_orderkey, n.note_id FROM orders o JOIN {_NOTES} n ON n.owner_type = 'order' AND n.owner_id = o.o_orderkey")
+def eager_dynamic_has_many(e):
+    return e.use("orders").with_("notes").df().select("o_orderkey", F.explode("notes.note_id").alias("note_id"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
+def plugin_and_extension(e):
+    class Segment:
+        def on_query(self, q):
+            return q.where("c_mktsegment", "BUILDING")
+
+    class OneNation:
+        def on_query(self, engine, q):
+            return q.where("c_nationkey", 3) if q.name == "customer" else q
+
+    return e.with_extension("one_nation", OneNation()).use("customer").apply(Segment()).select("c_custkey", "c_name")
+
+
+@query("SELECT * FROM (VALUES ('before_sql', 1::BIGINT), ('after_sql', 1), ('after_find', 2), ('after_cache_hit', 1), ('after_cache_miss', 1)) AS x(event, n)")
+def events_and_cache(e):
+    seen = []
+    for name in EVENTS:
+        e.events.on(name, lambda p, name=name: seen.append((name,)))
+    q = e.use("region").cache(60)
+    q.get()
+    q.get()
+    return e.spark.createDataFrame(seen, "event string").groupBy("event").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 5")
+def serializer(e):
+    rows = e.use("customer").select_hidden("c_acctbal").where("c_custkey", "<=", 5).get()
+    out = serialize(rows, e.registry.models["customer"], omit=("c_nationkey", "c_mktsegment"))
+    return e.spark.createDataFrame([(r["c_custkey"], r["c_name"]) for r in out if "c_acctbal" not in r], "c_custkey long, c_name string")
+
+
+@query("SELECT * FROM (VALUES ('add_column', 'n_note'), ('unsafe', 'n_old'), ('unsafe', 'n_regionkey')) AS x(kind, \"column\")")
+def schema_diff(e):
+    want = Model("nation").field("n_nationkey", "int", primary=True).field("n_name", "string").field("n_regionkey", "bigint").field("n_note", "bool")
+    have = e.catalog.load("nation").withColumn("n_old", F.lit(1))
+    return e.spark.createDataFrame([(c.kind, c.column) for c in schema_sync.diff(want, have.schema)], "kind string, column string")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, 'none' AS n_note FROM nation")
+def schema_applied(e):
+    m, t = Model("nation").field("n_nationkey", "int", primary=True).field("n_name", "string").field("n_regionkey", "int").field("n_note", "string", default="none"), e.catalog.load("nation")
+    return schema_sync.apply(e.spark, m, t, schema_sync.diff(m, t.schema))
+
+
+# writes through a store
+
+
+def _writer(e: Engine, *tables: str, audit: Audit | None = None) -> Writer:
+    store = Unsaved(**{t: e.catalog.load(t) for t in tables})
+    return Writer(e, store, audit, lambda: dt.datetime(2026, 1, 1)).share(*tables)
+
+
+@query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region UNION ALL SELECT 5, 'NORTH' UNION ALL SELECT 9, 'SOUTH' UNION ALL SELECT 12, NULL")
+def write_create_many(e):
+    """Rows with different keys; a missing key follows the largest one by the row's place."""
+    w = _writer(e, "region")
+    w.create("region", [{"r_name": "NORTH"}], batch_size=2)
+    w.create("region", [{"r_regionkey": 9, "r_name": "SOUTH"}, {"r_name": "gone", "r_regionkey": 10}], batch_size=1)
+    w.delete(e.use("region").where("r_name", "gone"))
+    w.create("region", [{"r_regionkey": 12, "r_name": "left out"}], omit=("r_name",))
+    return w.store.read("region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer UNION ALL SELECT c_custkey + (SELECT max(c_custkey) FROM customer), c_name, c_mktsegment FROM customer")
+def write_create_bulk(e):
+    """A DataFrame of new rows: keys are numbered over partitions in the rows' order, none comes to the driver."""
+    t = e.catalog.load("customer")
+    made = writes.insert(t, t.withColumnRenamed("c_custkey", "o").coalesce(1).sortWithinPartitions("o").drop("o"), e.registry.models["customer"])
+    return made.table.select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey <= 4 THEN 'X' ELSE s_name END AS s_name, CASE WHEN s_suppkey <= 4 THEN 9 ELSE s_nationkey END AS s_nationkey FROM supplier UNION ALL SELECT 1000000, 'NEW', 1")
+def write_upsert_all(e):
+    w, t = _writer(e, "supplier"), e.catalog.load("supplier")
+    new = t.where("s_suppkey <= 4").select("s_suppkey", F.lit("X").alias("s_name"), F.lit(9).alias("s_nationkey")).unionByName(e.spark.sql("select 1000000L as s_suppkey, 'NEW' as s_name, 1 as s_nationkey"))
+    w.upsert("supplier", new, writes.Conflict("s_suppkey").update_all())
+    return w.store.read("supplier").select("s_suppkey", "s_name", "s_nationkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey = 1 THEN 2 ELSE 1 END AS version, CASE WHEN o_orderkey = 1 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def write_optimistic_lock(e):
+    """The second writer's version has passed: its change is refused."""
+    m = Model("versioned").field("o_orderkey", "bigint", primary=True).field("o_orderstatus", "string").field("version", "int", optimistic=True)
+    e.catalog.put("versioned", e.catalog.load("orders").select("o_orderkey", "o_orderstatus", F.lit(1).alias("version")))
+    w = _writer(e.register(m), "versioned")
+    one = e.use("versioned").where("o_orderkey", 1)
+    w.update(one, {"o_orderstatus": "Z"}, check_version=1)
+    try:
+        w.update(one, {"o_orderstatus": "Y"}, check_version=1)
+    except StaleData:
+        pass
+    return w.store.read("versioned")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey = 1 THEN 4 WHEN n_nationkey = 2 THEN NULL WHEN n_nationkey IN (5, 6) THEN 0 WHEN n_nationkey = 10 THEN 1 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey NOT IN (8)")
+def write_relation_set_add_remove(e):
+    w, models_ = _writer(e, "nation", "region"), e.registry.models
+    nation, region = models_["nation"], models_["region"]
+    row = lambda k: {"n_nationkey": k}
+    w.set(nation, row(1), "region", {"r_regionkey": 4})
+    w.unset(nation, row(2), "region")
+    w.add(region, {"r_regionkey": 0}, "nations", row(5), row(6))
+    w.add(region, {"r_regionkey": 1}, "nations", row(10))
+    w.remove(region, {"r_regionkey": 4}, "nations", row(3))  # is in another region: stays
+    w.force_delete(e.use("nation").where("n_nationkey", 8))
+    return w.store.read("nation").select("n_nationkey", "n_regionkey")
+
+
+def _links(e: Engine) -> Writer:
+    """Parts of orders by the marks table, a few orders of it."""
+    e.catalog.put("marks", e.catalog.load("marks").where("owner_type = 'order' and owner_id < 40").distinct())
+    return _writer(e, "marks")
+
+
+_MARKS = "marks AS (SELECT DISTINCT 'order' AS owner_type, l_orderkey AS owner_id, l_partkey AS part_id FROM lineitem WHERE l_linenumber % 2 = 0 AND l_orderkey < 40)"
+
+
+@query(f"WITH {_MARKS} SELECT * FROM marks WHERE owner_id <> 2 UNION ALL SELECT 'order', 1, -5 UNION ALL SELECT 'order', 1, -6 UNION ALL SELECT 'order', 2, -7")
+def write_attach_sync(e):
+    w, orders = _links(e), e.registry.models["orders"]
+    part = lambda k: {"p_partkey": k}
+    w.attach(orders, {"o_orderkey": 1}, "marks", part(-5), part(-6))
+    w.sync(orders, {"o_orderkey": 2}, "marks", [part(-7)])
+    return w.store.read("marks").select("owner_type", "owner_id", F.col("part_id").cast("long").alias("part_id"))
+
+
+@query(f"WITH {_MARKS} SELECT owner_type, owner_id, CASE WHEN owner_id = 5 THEN -1 ELSE part_id END AS part_id FROM marks WHERE owner_id NOT IN (3, 7)")
+def write_detach_clear_through(e):
+    w, orders = _links(e), e.registry.models["orders"]
+    at = lambda k: {"o_orderkey": k}
+    ids = lambda k: [{"p_partkey": r[0]} for r in w.store.read("marks").where(F.col("owner_id") == k).select("part_id").collect()]
+    w.clear(orders, at(3), "marks")
+    if ids(7):
+        w.detach(orders, at(7), "marks", *ids(7))
+    for p in ids(5):
+        w.update_through(orders, at(5), "marks", p, {"part_id": -1})
+    return w.store.read("marks").select("owner_type", "owner_id", F.col("part_id").cast("long").alias("part_id"))
+
+
+@query("SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 'outer' ELSE r_name END AS r_name FROM region")
+def write_savepoint(e):
+    """A failed inner transaction is undone alone."""
+    w = _writer(e, "region")
+    with e.transaction(w.store):
+        w.update(e.use("region").where("r_regionkey", 0), {"r_name": "outer"})
+        try:
+            with w.store.transaction():
+                w.update(e.use("region").where("r_regionkey", 1), {"r_name": "inner"})
+                raise InvalidArgument("undone")
+        except InvalidArgument:
+            pass
+    return w.store.read("region")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 4 = 1 AND o_orderkey < 100 THEN 1.5 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT 90000001, 2.5")
+def write_tenant_upsert(e):
+    """Only the tenant's own rows are met; another tenant's key is refused."""
+    t = _orders_with_marks(e).tenant(tenant_id=1)
+    w, old = _writer(t, "tenant_orders"), t.catalog.load("tenant_orders")
+    conflict = writes.Conflict("o_orderkey").update("o_totalprice")
+    mine = old.where("tenant_id = 1 and o_orderkey < 100").select("o_orderkey", F.lit(1.5).alias("o_totalprice"))
+    w.upsert("tenant_orders", mine.unionByName(e.spark.sql("select 90000001L as o_orderkey, 2.5D as o_totalprice")), conflict)
+    try:
+        w.upsert("tenant_orders", old.where("tenant_id = 2").select("o_orderkey", F.lit(0.0).alias("o_totalprice")), conflict)
+    except TenantMismatch:
+        pass
+    return w.store.read("tenant_orders").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT * FROM (VALUES ('create', '900', '{\"n_nationkey\":900,\"n_name\":\"NEW\",\"updated_by\":7}'), ('update', '1', '{\"n_nationkey\":1,\"n_name\":\"ONE\",\"updated_by\":7}'), ('delete', '2', NULL)) AS x(operation, key, \"values\")")
+def write_audit_log(e):
+    """Every changed row is noted with its visible values, the writer is stamped on it."""
+    m = Model("audited").field("n_nationkey", "int", primary=True).field("n_name", "string").field("n_regionkey", "int", hidden=True).field("updated_by", "int")
+    e.catalog.put("audited", e.catalog.load("nation").select("n_nationkey", "n_name", "n_regionkey", F.lit(None).cast("int").alias("updated_by")))
+    e.catalog.put("log", e.spark.createDataFrame([], LOG))
+    w = _writer(e.register(m), "audited", "log", audit=Audit(7, "log"))
+    w.create("audited", {"n_nationkey": 900, "n_name": "NEW"})
+    w.update(e.use("audited").where("n_nationkey", 1), {"n_name": "ONE"})
+    w.delete(e.use("audited").where("n_nationkey", 2))
+    return w.store.read("log").select("operation", "key", F.when(F.col("operation") != "delete", F.col("values")).alias("values"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN lower(n_name) || '+' ELSE n_name END AS n_name FROM nation UNION ALL SELECT 800, 'plugged+'")
+def write_hooks_and_plugins(e):
+    class Plus:
+        def on_write(self, context):
+            if context.stage == "values" and context.mode in ("insert", "update"):
+                for r in context.values if isinstance(context.values, list) else [context.values]:
+                    if isinstance(r.get("n_name"), str):
+                        r["n_name"] += "+"
+                    elif "n_name" in r:
+                        r["n_name"] = Raw("concat(lower(n_name), '+')")
+
+    e.registry.models["nation"].on("before_create", lambda r: {**r, "n_name": r["n_name"].lower()})
+    w = _writer(e, "nation")
+    w.create("nation", {"n_nationkey": 800, "n_name": "PLUGGED", "n_regionkey": 1}, plugins=(Plus(),))
+    w.update(e.use("nation").apply(Plus()).where("n_nationkey", "<", 3), {"n_name": None})
+    return w.store.read("nation").select("n_nationkey", "n_name")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT o_orderkey + 10000000, o_custkey FROM orders WHERE o_custkey % 5 = 2")
+def write_shard_guard(e):
+    """Bulk rows of the chosen shard are written; a row of another one is an error."""
+    e.registry.models["orders"].sharded(ModShard("o_custkey", 5))
+    w, t = _writer(e, "orders"), e.catalog.load("orders").withColumn("o_orderkey", F.col("o_orderkey") + 10000000)
+    w.create("orders", t.where("o_custkey % 5 = 2"), shard=12)
+    return w.store.read("orders").select("o_orderkey", "o_custkey")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship"](spark, sf_dir)
 

@@ -10,23 +10,48 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import UnknownConnection
 
 
+@dataclass(frozen=True)
+class Split:
+    """How a JDBC table is read in parts: ranges of a numeric, date or time column."""
+
+    column: str
+    lower: object
+    upper: object
+    parts: int
+
+
 @dataclass
 class Connection:
     """Where a connection's tables are.
 
     kind: parquet (a folder with <table>.parquet each), jdbc (options url,
     driver, ...), catalog (the session's own tables).
+
+    A JDBC table is read by one task unless splits or predicates name it:
+    splits give a column and its bounds (rows beyond them go to the first and
+    last part), predicates one SQL condition for each part.  Filters, columns
+    and limits of queries are pushed down to the database.
     """
 
     kind: str = "parquet"
     path: str = ""
     options: dict[str, str] = field(default_factory=dict)
+    splits: dict[str, Split] = field(default_factory=dict)
+    predicates: dict[str, list[str]] = field(default_factory=dict)
+
+    def jdbc_options(self, table: str) -> dict[str, str]:
+        split = self.splits.get(table)
+        by = {"partitionColumn": split.column, "lowerBound": str(split.lower), "upperBound": str(split.upper), "numPartitions": str(split.parts)} if split else {}
+        return {"fetchsize": "10000", "pushDownAggregate": "true", "pushDownLimit": "true", **self.options, **by}
 
     def load(self, spark: SparkSession, table: str) -> DataFrame:
         if self.kind == "parquet":
             return spark.read.parquet(f"{self.path}/{table}.parquet")
         if self.kind == "jdbc":
-            return spark.read.format("jdbc").options(**self.options, dbtable=table).load()
+            options = self.jdbc_options(table)
+            if table in self.predicates:
+                return spark.read.jdbc(options.pop("url"), table, predicates=self.predicates[table], properties=options)
+            return spark.read.format("jdbc").options(**options, dbtable=table).load()
         return spark.table(table)
 
 

@@ -211,7 +211,7 @@ def test_writes(spark):
     m = Model("stocks").base().field("code", "string", size=5).field("stock", "int", default=7).field("version", "bigint", optimistic=True, default=1).field("kind", "enum", enum=("a", "b"))
     now = dt.datetime(2026, 1, 1)
     empty = spark.createDataFrame([], m.struct())
-    first = writes.insert(empty, spark.createDataFrame([("A",), ("B",)], "code string"), m, now)
+    first = writes.insert(empty, spark.createDataFrame([("A",), ("B",)], "code string"), m, now, few=True)
     assert first.ids == [1, 2] and first.first_id == 1
     rows = {r["code"]: r for r in first.table.collect()}
     assert rows["A"]["stock"] == 7 and rows["A"]["version"] == 1 and rows["A"]["created_at"] == now
@@ -357,7 +357,7 @@ def test_hooks_plugins_extensions(shop):
 
 def test_audit(shop, spark):
     a = Audit(lambda: 42)
-    assert a.stamp("update", {"x": 1}, spark.createDataFrame([], "x int, updated_by int")) == {"x": 1, "updated_by": 42}
+    assert a.stamp("update", {"x": 1}, ["x", "updated_by"]) == {"x": 1, "updated_by": 42}
     row = a.log("update", shop.registry.models["users"], shop.catalog.load("users"), dt.datetime(2026, 1, 1)).first()
     assert "hash" not in row["values"] and row["actor"] == "42"
 
@@ -417,3 +417,153 @@ def test_rebuild_of_a_deep_tree_with_unreached_rows(spark):
     got = {r["id"]: (r["lft"], r["rgt"], r["depth"]) for r in Tree(nodes).rebuild(order="id").collect()}
     want = {i: (i + 1, 2 * n - i + (2 if i == 0 else 0), i) for i in range(n)}
     assert got == {**want, 500: (2 * n, 2 * n + 1, 1), 900: (7, 8, 3), 901: (9, 9, 9), 902: (9, 9, 9)}
+
+
+def test_keys_of_bulk_rows_are_numbered_by_partition(spark):
+    m = Model("t").field("id", "bigint", primary=True).field("x", "int")
+    old = spark.createDataFrame([(41, 0)], "id long, x int")
+    new = spark.range(0, 1000, numPartitions=7).select(F.col("id").cast("int").alias("x")).where("x % 7 <> 3").withColumn("id", F.when(F.col("x") == 11, 2000).cast("long"))
+    out = writes.insert(old, new, m)
+    rows = {r["x"]: r["id"] for r in out.rows.collect()}
+    assert out.ids == [] and out.affected == len(rows) == len(set(rows.values())) and rows[11] == 2000 and min(v for k, v in rows.items() if k != 11) > 2000
+    ordered = [rows[x] for x in sorted(rows) if x != 11]
+    assert ordered == sorted(ordered)
+
+
+def test_tree_paths(spark):
+    """Rows that no root reaches keep their bounds; identifiers that occur twice are an error."""
+    schema = "id int, parent_id int, lft int, rgt int, depth int"
+    chain = [(i, i - 1 if i else None, 0, 0, 0) for i in range(70)]
+    lost = [(100, 999, 7, 8, 9), (101, 100, 7, 8, 9), (200, 201, 7, 8, 9), (201, 200, 7, 8, 9), (202, 200, 7, 8, 9)]
+    t = Tree(spark.createDataFrame(chain + lost, schema))
+    got = {r["id"]: (r["lft"], r["rgt"], r["depth"]) for r in t.rebuild(order="id").collect()}
+    assert got == {i: (i + 1, 140 - i, i) for i in range(70)} | {i: (7, 8, 9) for i, *_ in lost}
+    pairs = {(r["ancestor_id"], r["descendant_id"]): r["distance"] for r in t.ancestor_pairs().collect()}
+    assert pairs == {(a, d): d - a for d in range(70) for a in range(d)}
+    with pytest.raises(errors.InvalidArgument):
+        Tree(spark.createDataFrame([*chain, chain[0]], schema)).rebuild()
+
+
+def test_commits_are_whole_and_not_replaced(spark, tmp_path, monkeypatch):
+    s, other = Snapshots(spark, str(tmp_path)), Snapshots(spark, str(tmp_path))
+    one, two = (spark.createDataFrame([(k,)], "x int") for k in (1, 2))
+    with s.transaction():
+        s.write("a", one)
+        s.write("b", one)
+    assert s.versions() == [1]
+    publish = Snapshots._publish
+    with monkeypatch.context() as m:  # a failure between the data and the manifest shows nothing of the commit
+        m.setattr(Snapshots, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            with s.transaction():
+                s.write("a", two)
+                s.write("b", two)
+    assert publish is Snapshots._publish and [s.read(t).first()["x"] for t in ("a", "b")] == [1, 1]
+    with pytest.raises(errors.WriteConflict):
+        with s.transaction():
+            s.write("a", s.read("a").union(two))
+            other.write("b", two)
+    assert s.read("a").count() == 1 and s.read("b").first()["x"] == 2
+    # again with a retry, and seen as of an older commit
+    e, tries, seen = Engine(spark), [], []
+    e.events.on("after_commit", lambda p: seen.append("commit"))
+    e.events.on("after_rollback", lambda p: seen.append("rollback"))
+
+    def work(store):
+        tries.append(1)
+        store.write("a", store.read("a").union(two))
+        if len(tries) == 1:
+            other.write("b", one)
+
+    e.run(s, work, wait=0)
+    assert len(tries) == 2 and s.read("a").count() == 2 and s.read("a", version=1).count() == 1 and "commit" in seen
+    assert s.vacuum(keep=1) >= 2 and s.versions() == [s.version()] and s.read("a").count() == 2 and s.read("b").first()["x"] == 1
+    with pytest.raises(errors.InvalidArgument):
+        s.read("none")
+
+
+def test_jdbc_in_parts(spark):
+    """The embedded database that comes with Spark, read in ranges and by conditions."""
+    from lodestone.sources.catalog import Split
+
+    options = {"url": "jdbc:derby:memory:lodestone;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).select(F.col("id").cast("int").alias("ID"), (F.col("id") % 10).cast("int").alias("K")).write.jdbc(options["url"], "ITEMS", "overwrite", {"driver": options["driver"]})
+    one = Connection("jdbc", options=options)
+    assert one.load(spark, "ITEMS").rdd.getNumPartitions() == 1
+    ranges = Connection("jdbc", options=options, splits={"ITEMS": Split("ID", 0, 100, 4)}).load(spark, "ITEMS")
+    assert ranges.rdd.getNumPartitions() == 4 and ranges.where("K = 3").count() == 10
+    parts = Connection("jdbc", options=options, predicates={"ITEMS": ["ID < 30", "ID >= 30"]})
+    e = Engine(spark, connections={"default": parts})
+    q = e.table("ITEMS").where(col("K").eq(3)).select("ID")
+    assert parts.load(spark, "ITEMS").rdd.getNumPartitions() == 2 and q.count() == 10
+    assert "PushedFilters: [*IsNotNull(K), *EqualTo(K,3)]" in q.df()._jdf.queryExecution().toString()
+
+
+def test_loaded_and_nested_serialization(spark):
+    e = Engine(spark)
+    e.catalog.put("authors", spark.createDataFrame([(1, "a")], "id long, name string"))
+    e.catalog.put("books", spark.createDataFrame([(1, 1, "t", "secret")], "id long, author_id long, title string, price string"))
+    e.register(Model("authors").field("id", "bigint", primary=True).field("name", "string").has_many("books", "books", "id", "author_id"), Model("books").field("id", "bigint", primary=True).field("author_id", "bigint").field("title", "string").field("price", "string", hidden=True))
+    row, plain = e.use("authors").with_("books").first(), e.use("authors").first()
+    assert [b["title"] for b in extras.loaded(row, "books")] == ["t"]
+    with pytest.raises(errors.RelationNotLoaded):
+        extras.loaded(plain, "books")
+    model = e.registry.models["authors"]
+    value = {"id": 1, "books": [{"title": "t", "price": "secret"}]}
+    assert extras.serialize(value, model, registry=e.registry) == {"id": 1, "books": [{"title": "t"}]}
+
+
+def test_cache_is_bounded():
+    now = [0.0]
+    c = extras.Cache(lambda: now[0], most=2)
+    for k in "abc":
+        c.remember(k, 10, (), lambda k=k: k)
+    assert list(c.entries) == ["b", "c"] and c.has("c") and not c.has("a")
+    now[0] = 11.0
+    c.remember("d", 10, (), lambda: "d")
+    assert list(c.entries) == ["d"]
+
+
+def test_schema_diff_lists_every_removed_column(spark):
+    m = Model("t").field("a", "int").field("b", "int", nullable=False)
+    have = spark.createDataFrame([], "a int, c string, d string").schema
+    assert {(x.kind, x.column) for x in schema_sync.diff(m, have)} == {("unsafe", "b"), ("unsafe", "c"), ("unsafe", "d")}
+
+
+def test_extensions(spark):
+    e = Engine(spark, connections={"default": Connection("parquet", "/nowhere")})
+    data = spark.createDataFrame([(k, k % 3) for k in range(12)], "id long, k long")
+    e.catalog.put("t", data)
+    e.register(Model("t").field("id", "bigint", primary=True).field("k", "bigint").sharded(ModShard("k", 3)))
+    seen = []
+
+    class Extension:
+        def install(self, engine):
+            seen.append("installed")
+
+        def on_query(self, engine, query):
+            return query.where("id", "<", 9)
+
+        def shard_values(self, engine):
+            return {"k": 4}
+
+        def cache_key(self, engine):
+            return {"who": "me"}
+
+        def events(self):
+            return {"after_find": lambda p: seen.append(p["rows"])}
+
+        def state(self):
+            return {"n": 1}
+
+    class Elsewhere:
+        def connection(self, engine, table):
+            return "archive" if table == "moved" else None
+
+    e.with_extension("own", Extension()).with_extension("elsewhere", Elsewhere())
+    assert sorted(r["id"] for r in e.use("t").get()) == [1, 4, 7] and seen == ["installed", 3] and e.state == {"own": {"n": 1}} and e.asked("cache_key") == {"who": "me"}
+    assert e.use("t").all_shards().count() == 9
+    with pytest.raises(errors.UnknownConnection):
+        e.table("moved").df()
+    with pytest.raises(errors.InvalidQuery):
+        e.with_extension("own", Extension())

@@ -7,7 +7,7 @@ import pytest
 from lodestone import errors
 from lodestone.engine import Engine
 from lodestone.functions.expressions import col, increment
-from lodestone.operators.audit import Audit
+from lodestone.operators.audit import LOG, Audit
 from lodestone.operators.retention import Retention
 from lodestone.operators.shards import ModShard
 from lodestone.operators.writer import Conflict, Writer
@@ -103,3 +103,60 @@ def test_hooks_tenants_shards_cleanup(spark, tmp_path):
     assert w.delete(e.use("logs").where("action", "A1")).affected == 0
     assert w.cleanup("logs", Retention(keep_last=3, key="id"), 2) == (7, 4)
     assert store.read("logs").count() == 3
+
+
+def test_tenants_share_no_keys(spark, tmp_path):
+    e, store = Engine(spark), Snapshots(spark, str(tmp_path))
+    m = Model("rows").field("id", "bigint", primary=True).field("tenant_id", "bigint").field("code", "string").field("v", "string").by_tenant("tenant_id")
+    e.register(m)
+    store.write("rows", spark.createDataFrame([(1, 1, "a", "x"), (2, 2, "b", "y")], "id long, tenant_id long, code string, v string"))
+    w = Writer(e, store).share("rows")
+    e.tenant_resolver = lambda: {"tenant_id": 1}
+    with pytest.raises(errors.TenantMismatch):
+        w.upsert("rows", {"id": 2, "v": "stolen"}, Conflict("id").update_all())
+    w.upsert("rows", [{"id": 1, "v": "mine"}, {"id": 3, "v": "new"}], Conflict("id").update_all())
+    assert {tuple(r) for r in store.read("rows").collect()} == {(1, 1, "a", "mine"), (2, 2, "b", "y"), (3, 1, None, "new")}
+
+
+def test_audit_log_plugins_and_shards(spark, tmp_path):
+    e, store = Engine(spark), Snapshots(spark, str(tmp_path))
+    m = Model("docs").field("id", "bigint", primary=True).field("k", "bigint").field("title", "string", default="none").field("secret", "string", hidden=True).field("updated_by", "bigint").field("deleted_by", "bigint").field("deleted_at", "timestamp_ntz", soft_delete=True).sharded(ModShard("k", 2))
+    e.register(m)
+    store.write("docs", spark.createDataFrame([], m.struct()))
+    store.write("log", spark.createDataFrame([], LOG))
+    w, seen = Writer(e, store, Audit(5, "log"), lambda: NOW).share("docs", "log"), []
+
+    class Plugin:
+        def on_write(self, context):
+            seen.append((context.mode, context.stage))
+            if context.mode == "update":
+                context.values["title"] = "plugged"
+
+    for event in ("before_create", "after_create", "before_update", "after_update", "before_delete", "after_delete", "before_restore", "after_restore"):
+        e.events.on(event, lambda p, event=event: seen.append(event))
+    plugin = Plugin()
+    before = store.version()
+    w.create("docs", [{"k": 1, "title": "t", "secret": "s"}, {"k": 3}], shard=1, plugins=(plugin,))
+    assert store.version() == before + 1  # rows and log together
+    w.update(e.use("docs").apply(plugin).where("id", 1), {"title": "u"})
+    w.delete(e.use("docs").apply(plugin).where("id", 2))
+    gone = e.use("docs").only_deleted().find(2)
+    assert (gone["deleted_by"], gone["updated_by"], gone["title"]) == (5, 5, "none")
+    w.restore(e.use("docs").apply(plugin).where("id", 2))
+    assert e.use("docs").find(2)["deleted_by"] is None and e.use("docs").find(1)["title"] == "plugged"
+    log = store.read("log").orderBy("at").collect()
+    assert sorted((r["operation"], r["key"]) for r in log) == [("create", "1"), ("create", "2"), ("delete", "2"), ("restore", "2"), ("update", "1")]
+    assert all("secret" not in r["values"] and r["actor"] == "5" for r in log)
+    assert seen == ["before_create", ("insert", "values"), ("after_write", "result"), "after_create", "before_update", ("update", "values"), ("after_write", "result"), "after_update",
+                    "before_delete", ("delete", "values"), ("after_write", "result"), "after_delete", "before_restore", ("restore", "values"), ("after_write", "result"), "after_restore"]
+    bulk = spark.createDataFrame([(7, 4)], "id long, k long")
+    with pytest.raises(Exception, match="isn't in that shard"):
+        w.create("docs", bulk, shard=1)
+    with pytest.raises(errors.ShardMismatch):
+        with e.transaction(store):
+            w.create("docs", {"k": 1}, shard=1)
+            w.create("docs", {"k": 2}, shard=2)
+    w.create("docs", bulk, shard=2)
+    with pytest.raises(errors.InvalidArgument):
+        w.create("docs", {"k": 1}, batch_size=0)
+    assert store.read("docs").count() == 3
