@@ -893,7 +893,7 @@ def write_create_many(e):
     return w.store.read("region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name")
 
 
-@query("SELECT c_custkey, c_name, c_mktsegment FROM customer UNION ALL SELECT c_custkey + (SELECT max(c_custkey) FROM customer), c_name, c_mktsegment FROM customer")
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY c_custkey), c_name, c_mktsegment FROM customer")
 def write_create_bulk(e):
     """A DataFrame of new rows: keys are numbered over partitions in the rows' order, none comes to the driver."""
     t = e.catalog.load("customer")
