@@ -1,7 +1,8 @@
 """Token ids as compressed binary files: static range asymmetric numeral systems.
 
 Documents are ordered by identifier over range partitions; each partition is
-tokenised and becomes one file.  A file is a row of segments of about
+tokenised and becomes one file, or several of about FILE_BYTES.  A file is a row
+of segments of about
 SEGMENT_IDS ids: a frequency table, then blocks of whole documents that share
 it (a very long document's block stands alone).  A block is coded by up to
 LANES interleaved coders and keeps their checkpoints (final states and the
@@ -46,6 +47,8 @@ BLOCK_IDS = 1 << 20
 LANES = 4096
 #: Ids that share a frequency table, about; also what a task holds at once.
 SEGMENT_IDS = 4 << 20
+#: A file is closed and the next one begun when it has this many bytes.
+FILE_BYTES = 1 << 30
 _LOW = np.uint64(1 << 31)
 FOOTER = "<6Q"
 INDEX = "file string, part long, block long, offset long, length long, table_offset long, table_length long, n_docs long, n_ids long"
@@ -195,11 +198,9 @@ def write(docs: DataFrame, out_dir: str, path: str | None = None, end_id: int =
         from pyspark import TaskContext
 
         encoder, part, end = byte_encoder(path), TaskContext.get().partitionId(), np.array([end_id], np.uint32)
-        uri, index = f"{out_dir}/ids-{part:06d}.rans", []
 
-        def content(batches):
-            at, docs_, held = len(MAGIC), [], 0
-            yield MAGIC
+        def segments() -> Iterator[list]:
+            docs_, held = [], 0
             for batch in batches:
                 buf, offsets = buffers(batch.column("text"))
                 names = batch.column("doc_id").to_pylist()
@@ -210,29 +211,37 @@ def write(docs: DataFrame, out_dir: str, path: str | None = None, end_id: int =
                         docs_.append((name, np.concatenate([ids[e - n : e], end])))
                         held += n + 1
                     if held >= SEGMENT_IDS:
-                        for piece in _segment(docs_, at, index):
-                            at += len(piece)
-                            yield piece
+                        yield docs_
                         docs_, held = [], 0
             if docs_:
-                yield from _segment(docs_, at, index)
+                yield docs_
+
+        def content(docs_: list | None, index: list) -> Iterator[bytes]:
+            """One file, beginning with these documents."""
+            at = len(MAGIC)
+            yield MAGIC
+            while docs_ is not None:
+                for piece in _segment(docs_, at, index):
+                    at += len(piece)
+                    yield piece
+                docs_ = next(rest, None) if at < FILE_BYTES else None
             footer = b"".join(struct.pack(FOOTER, *x) for x in index)
             yield footer + struct.pack("<Q", len(footer)) + MAGIC
 
-        first = next(batches, None)
-        if first is not None:
-            write_whole(uri, content(_chain(first, batches)))
-        columns = list(zip(*index)) or [()] * 6
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([uri] * len(index), pa.string()), pa.array([part] * len(index), pa.int64()), pa.array(range(len(index)), pa.int64()), *[pa.array(c, pa.int64()) for c in columns]], names=[c.split()[0] for c in INDEX.split(", ")]
-        )
+        rest = segments()
+        for number, first in enumerate(iter(lambda: next(rest, None), None)):
+            uri, index = f"{out_dir}/ids-{part:06d}-{number:06d}.rans", []
+            write_whole(uri, content(first, index))
+            yield _index_rows(uri, index)
 
     return stored(ordered.mapInArrow(run, INDEX), "index")
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
+def _index_rows(uri: str, blocks: list[tuple[int, ...]]) -> pa.RecordBatch:
+    """Index rows of a file's blocks; the file's name tells its partition and its number there, and blocks count on over a partition's files."""
+    part, number = map(int, uri.rpartition("/")[2].removesuffix(".rans").split("-")[1:])
+    rows = [(uri, part, (number << 32) + k, *x) for k, x in enumerate(blocks)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] + [pa.int64()] * 8)], names=[c.split()[0] for c in INDEX.split(", ")])
 
 
 def read_footer(uri: str) -> list[tuple[int, ...]]:
@@ -253,9 +262,7 @@ def open_index(spark: SparkSession, out_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("path").to_pylist():
-                part = int(uri.rpartition("-")[2].partition(".")[0])
-                rows = [(uri, part, k, *x) for k, x in enumerate(read_footer(uri))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] + [pa.int64()] * 8)], names=[c.split()[0] for c in INDEX.split(", ")])
+                yield _index_rows(uri, read_footer(uri))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(out_dir).select("path")
     return files.mapInArrow(run, INDEX)

@@ -14,8 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import embedding_dedup, exact_dedup, filters, license_scan, mixing, near_dedup, packing, queries, suffix_dedup, token_output, toxicity, warc
-from lodestone.llm.common import fresh_path, read_table
-from lodestone.llm.tokenize import byte_encoder, word_encoder
+from lodestone.llm.common import arrow_rows, fresh_path, read_table
+from lodestone.llm.tokenize import default_path
 
 DOCS = "doc_id long, text string, source string, kept string, bin int"  # some names clash with the operators' own
 
@@ -132,31 +132,31 @@ def test_mixing(spark, odd, none, sf_dir):
     assert len(set(keys)) == len(keys)
 
 
+def brute_mix(rows, weights=None, chars=None):
+    """(doc_id, text, copy, copies, shuffle_key) of all copies, a source's rate and a document's number of copies from their definitions."""
+    size, out = Counter(), Counter()
+    for r in rows:
+        size[r["source"]] += len(r["text"] or "")
+    weigh = {s: (math.sqrt(n) if weights is None else weights.get(s or "", 0.0)) if n else 0.0 for s, n in size.items()}
+    chars = sum(size.values()) if chars is None else chars
+    for r in rows:
+        rate = weigh[r["source"]] / sum(weigh.values()) * chars / size[r["source"]] if size[r["source"]] else 0.0
+        u = (int(hashlib.md5(f"mix-1-count|{r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        k, p, total = 0, math.exp(-rate), math.exp(-rate)
+        while rate and u >= total:
+            k += 1
+            p *= rate / k
+            total += p
+        for copy in range(1, k + 1):
+            out[(r["doc_id"], r["text"], copy, k, hashlib.md5(f"mix-1-order|{r['doc_id']}|{copy}".encode()).hexdigest()[:16])] += 1
+    return out
+
+
 def test_mixing_by_brute_force(spark, odd, monkeypatch):
     """Copies are the inverse of the distribution at the hashed number; also with the table joined by shuffle and copies listed in stretches."""
     docs = odd.where("doc_id is not null")
     weights, chars = {"a": 1.0, "b": 3.0, "": 2.0}, 400_000
-
-    def wanted():
-        rows = docs.collect()
-        size = Counter()
-        for r in rows:
-            size[r["source"]] += len(r["text"] or "")
-        weigh = {s: weights.get(s or "", 0.0) if n else 0.0 for s, n in size.items()}
-        out = Counter()
-        for r in rows:
-            rate = weigh[r["source"]] / sum(weigh.values()) * chars / size[r["source"]] if size[r["source"]] else 0.0
-            u = (int(hashlib.md5(f"mix-1-count|{r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
-            k, p, total = 0, math.exp(-rate), math.exp(-rate)
-            while rate and u >= total:
-                k += 1
-                p *= rate / k
-                total += p
-            for copy in range(1, k + 1):
-                out[(r["doc_id"], r["text"], copy, k, hashlib.md5(f"mix-1-order|{r['doc_id']}|{copy}".encode()).hexdigest()[:16])] += 1
-        return out
-
-    want = wanted()
+    want = brute_mix(docs.collect(), weights, chars)
     assert sum(want.values()) > 100 and max(x[3] for x in want) > 3
     for numbers, stretch in ((mixing.BROADCAST_NUMBERS, mixing.STRETCH), (0, 2)):
         monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", numbers)
@@ -309,15 +309,27 @@ def test_near_dedup(spark, odd, none, monkeypatch):
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == dict(enumerate(want))
 
 
+def library(name):
+    """The plain call of the library, apart from the repository's encoders."""
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(default_path(name)).encode
+    return lambda text: encode(text, add_special_tokens=False).ids if text else []
+
+
+SPECIAL = [(801, "one <|endoftext|> two", "a"), (802, "<|startoftext|>", "b"), (803, "It's <|ENDOFTEXT|>  x", None)]
+
+
 def test_packing(spark, odd, none):
-    encoder = word_encoder()
+    encode = library("word_bpe_49k.json")
+    odd = odd.unionByName(spark.createDataFrame([(i, t, s, "k", 1) for i, t, s in SPECIAL], DOCS))
     got = packing.op3_best_fit_packing
     assert callable(got)
     placed, report = packing.pack(packing.pieces(odd), part_items=4)
     placed = placed.collect()
     want = Counter()
     for r in odd.collect():
-        ids = [*(encoder.library(r["text"]).tolist() if r["text"] else []), 0]
+        ids = [*encode(r["text"]), 0]
         for k, at in enumerate(range(0, len(ids), 2048)):
             part = ids[at : at + 2048]
             want[(r["doc_id"], k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
@@ -335,19 +347,27 @@ def test_packing(spark, odd, none):
     assert packing.pack(packing.pieces(none))[0].count() == 0
 
 
-def test_token_output(spark, odd, none):
-    out = fresh_path(spark, "rans")
+def test_token_output(spark, odd, none, monkeypatch):
+    out, encode = fresh_path(spark, "rans"), library("byte_bpe_50k.json")
+    odd = odd.unionByName(spark.createDataFrame([(i, t, s, "k", 1) for i, t, s in SPECIAL], DOCS))
     token_output.write(odd, out)
     got = token_output.read(token_output.open_index(spark, out), with_ids=True).orderBy("start").collect()
-    encoder, at = byte_encoder(), 0
+    at = 0
     assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in odd.collect()), key=lambda i: -1 if i is None else i)
-    texts = Counter(((r["doc_id"]), tuple([*(encoder.library(r["text"]).tolist() if r["text"] else []), 2])) for r in odd.collect())
+    texts = Counter(((r["doc_id"]), tuple([*encode(r["text"]), 2])) for r in odd.collect())
     assert Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got) == texts
     for r in got:
         assert r["start"] == at and r["n_tokens"] == len(r["ids"]) // 4 and r["ids_crc32"] == zlib.crc32(bytes(r["ids"]))
         at += r["n_tokens"]
     index = token_output.write(none, fresh_path(spark, "rans"))
     assert token_output.read(index).count() == 0
+    # small segments, blocks and files: the same ids
+    for name in ("SEGMENT_IDS", "BLOCK_IDS", "FILE_BYTES"):
+        monkeypatch.setattr(token_output, name, 1)
+    with arrow_rows(spark, 2):
+        index = token_output.write(odd.coalesce(1), small := fresh_path(spark, "rans"))
+    again = token_output.read(token_output.open_index(spark, small), with_ids=True).orderBy("start").collect()
+    assert index.select("file").distinct().count() > 4 and again == got
 
 
 def test_warc(spark):
@@ -507,6 +527,81 @@ def test_near_dedup_with_a_repeated_part(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+#: Names that the operators use themselves.
+OWN_NAMES = """score text_to_score mixed doc id own_source u least cumulative rate copies copy stretch shuffle_key own part short digest keep_id n_rows salts salt bucket bits text_
+rid node n set1 set2 bands band key members centre component elements held other side label_id toxic slots row words size __id __row_id __row_digest __rid __score __text __copy __copies
+__order __rate __source __cumulative __u sequence_id offset length bin round item tie url payload page record_type refers_to vector label dim raw cell visits home chunk""".split()
+
+
+def test_clashing_columns(spark, odd):
+    """Columns of any name come through every stage of the pipeline unchanged, and change no other operator's rows."""
+    import corpus_pipeline
+
+    wide = odd.select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in OWN_NAMES if n not in odd.columns])
+    wide = wide.withColumn("with.dot and `tick`", F.lit("d"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 15)], "doc_id long, toxic int")
+    stages = [toxicity.keep_clean(wide, labels), exact_dedup.keep_distinct(wide, "max"), near_dedup.keep_one(wide), near_dedup.keep_one(wide.where("doc_id is not null").dropDuplicates(["doc_id"])), corpus_pipeline.mixed(spark, wide, "")]
+    for out in stages:
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in OWN_NAMES if n not in odd.columns) and {r["kept"] for r in rows} == {"k"}
+    pages = {"id_col": "doc_id", "url_col": "source", "payload_col": "text"}
+    same = lambda make: Counter(map(repr, make(wide).collect())) == Counter(map(repr, make(odd).collect()))
+    assert same(exact_dedup.exact_dedup) and same(license_scan.scan) and same(suffix_dedup.repeated_spans) and same(lambda d: warc.records(d, **pages).drop("url"))
+    assert same(lambda d: packing.pack(packing.pieces(d))[0].drop("sequence_id", "offset")) and same(lambda d: toxicity.toxicity(d, labels)) and same(lambda d: near_dedup.near_duplicates(d).select("doc_id", "class_id"))
+
+
+def exact_links(texts):
+    """All pairs of different texts whose shingle sets have similarity 0.8 at least, by counting common shingles."""
+    sets, where, common = [], defaultdict(list), Counter()
+    for i, t in enumerate(texts):
+        w = plain_words(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+        for x in sets[-1]:
+            where[x].append(i)
+    for ids in where.values():
+        common.update(itertools.combinations(ids, 2))
+    return [p for p, n in common.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+
+
+def test_near_dedup_recall_against_all_pairs(spark):
+    """On a whole table at least 0.99 of the links are inside a class, and no class joins what links don't."""
+    rows = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.op5_minhash_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    links = exact_links([r["text"] for r in rows])
+    found = sum(got[rows[i]["doc_id"]] == got[rows[j]["doc_id"]] for i, j in links)
+    assert len(links) > 50 and found >= 0.99 * len(links)
+    root = {r["doc_id"]: r["doc_id"] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in links:
+        a, b = sorted((find(rows[i]["doc_id"]), find(rows[j]["doc_id"])))
+        root[b] = a
+    assert all(find(c) == find(d) for d, c in got.items())
+
+
+def test_shared_folder_and_repeated_writes(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from lodestone.llm import common, files
+
+    unset = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: {}, master="spark://host:7077"), conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(unset)
+    at = f"file://{tmp_path}/a/b.bin"
+    assert files.write_whole(at, [b"x", b"yz"]) == 3 and files.write_whole(at, [b"x", b"yz"]) == 3 and files.read_range(at, 1, 2) == b"yz"
+    assert common.unused(["A", "a_", "b"], "a", "c", "B", "c") == ["a__", "c", "B_", "c_"]
+    kept = common.stored(spark.range(5).toDF("k"), "five")
+    assert {r["k"] for r in filters.near_keys(spark.range(2000).toDF("k"), kept, "k").collect()} >= set(range(5)) and kept.stored_at.startswith(common.shared_dir(spark))
+    common.release(kept)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(kept.stored_at)
+
+
 def test_queries_against_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "pages"):
@@ -519,19 +614,47 @@ def test_queries_against_sql(spark, sf_dir):
         assert Counter(map(repr, map(tuple, df.select(*columns).collect()))) == Counter(map(repr, want.fetchall())), name
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline_by_brute_force(spark, sf_dir):
+    """Every stage's rows, and the whole run's, from plain Python (toxicity by the operator's own scores, which have a test of their own)."""
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "minhash_near_dedup", "mix_sources", "best_fit_packing"]
     docs = read_table(spark, sf_dir, "documents")
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    bad = {r["doc_id"] for r in toxicity.toxicity(docs, read_table(spark, sf_dir, "labels")).where("predicted = 1").collect()}
+    wanted = {"toxicity": [r for r in rows if r["doc_id"] not in bad]}
+    assert bad and wanted["toxicity"]
+    last = {lower(r["text"]): r["doc_id"] for r in wanted["toxicity"]}
+    wanted["exact_dedup"] = [r for r in wanted["toxicity"] if last[lower(r["text"])] == r["doc_id"]]
+    distinct = wanted["exact_dedup"]
+    root = list(range(len(distinct)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in exact_links([r["text"] for r in distinct]):
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    wanted["minhash_near_dedup"] = [r for i, r in enumerate(distinct) if find(i) == i]
+    assert len(rows) > len(wanted["toxicity"]) > len(distinct) > len(wanted["minhash_near_dedup"]) > 0
+    of = {r["doc_id"]: r for r in rows}
+    wanted["mix_sources"] = [of[i] for (i, *_), n in brute_mix(wanted["minhash_near_dedup"]).items() for _ in range(n)]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        after = spark.read.parquet(path)
-        assert sorted(after.columns) == sorted(docs.columns)
-        if name != "mix_sources":
-            assert 0 < after.count() <= docs.count()
-        docs = after
-    out = corpus_pipeline.run(spark, sf_dir)
-    pieces = Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in out.collect())
-    assert pieces == Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.pieces(docs).collect())
+        docs = spark.read.parquet(path)
+        assert Counter(map(tuple, docs.select(*rows[0].__fields__).collect())) == Counter(map(tuple, wanted[name])), name
+    encode, pieces = library("word_bpe_49k.json"), Counter()
+    for r in wanted["mix_sources"]:
+        ids = [*encode(r["text"]), 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            pieces[(r["doc_id"], k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    out, filled = corpus_pipeline.run(spark, sf_dir).collect(), defaultdict(list)
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == pieces
+    for r in out:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in filled.values():
+        assert [o for o, _ in sorted(parts)] == [0, *itertools.accumulate(n for _, n in sorted(parts))][:-1] and sum(n for _, n in parts) <= 2048
