@@ -29,14 +29,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_columns, quoted, read_table, stored, unused
+from .common import arrow_rows, doc_columns, quoted, read_table, stored, unused
 from .textbuf import LOWER, buffers
 
 #: Sampled training rows of each label at most.
@@ -129,10 +128,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, per_label: int =
             slots = [np.unique(_slots(buf[offsets[i] : offsets[i + 1]])).tobytes() for i in range(len(offsets) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("toxic").cast(pa.int32()), pa.array([len(x) // 4 for x in slots], pa.int64()), pa.array(slots, pa.binary())], names=["label_id", "toxic", "n", "slots"])
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["label_id", "slots"], kind="stable")
-        w, b = train([np.frombuffer(x, np.uint32) for x in frame["slots"]], frame["toxic"].to_numpy())
-        return pd.DataFrame({"w": [w.tobytes()], "b": [b]})
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("slots")]
+            toxic += batch.column("toxic").to_pylist()
+        if texts:
+            w, b = train(texts, np.array(toxic))
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b], pa.float64())], names=["w", "b"])
 
     rows = stored(training_rows(docs, labels, folds, per_label).mapInArrow(features, "label_id long, toxic int, n long, slots binary"), "features")
     # at most 2 * per_label rows of numbers (repeated documents are counted as often as they occur)
@@ -141,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, per_label: int =
     first = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("label_id"), "label_id")) == 1
     few = sizes.withColumn("fits", (before <= SAMPLE_FEATURES) | first).where("fits").select("label_id")
     rows = rows.join(F.broadcast(few), "label_id", "left_semi")
-    model = rows.groupBy(F.lit(0).alias("one")).applyInPandas(lambda frame: one(frame[["label_id", "toxic", "slots"]]), "w binary, b double").collect()
+    with arrow_rows(docs.sparkSession, 64):
+        model = rows.select("label_id", "toxic", "slots").repartition(1).sortWithinPartitions("label_id", "slots").mapInArrow(one, "w binary, b double").collect()
     if not model:
         return np.zeros(1 << BITS, np.float32), -40.0
     return np.frombuffer(model[0]["w"], np.float32), model[0]["b"]
