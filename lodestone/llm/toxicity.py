@@ -170,17 +170,20 @@ def score_texts(column: pa.Array, weights: np.ndarray, intercept: float) -> np.n
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """The columns to keep (all) and a last one, the score of text_col; and that column's name (one that docs doesn't have)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB
-    text, name = unused(docs.columns, "text_to_score", "score")
+    (name,) = unused(docs.columns, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, intercept = shared.value
         for batch in batches:
             found = pa.array(score_texts(batch.column(batch.num_columns - 1), weights, intercept))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "s"])
 
     own = docs.select(*[quoted(c) for c in (docs.columns if keep is None else keep)])
-    given = docs.select(*[quoted(c) for c in own.columns], quoted(text_col).cast("string").alias(text))
-    return given.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(name, T.DoubleType())])), name
+    # by number, as names may hold any signs
+    plain = [f"c{i}" for i in range(len(own.columns))]
+    given = docs.select(*[quoted(c).alias(p) for c, p in zip(own.columns, plain)], quoted(text_col).cast("string").alias("t"))
+    schema = T.StructType([*[T.StructField(p, f.dataType, f.nullable, f.metadata) for p, f in zip(plain, own.schema.fields)], T.StructField("s", T.DoubleType())])
+    return given.mapInArrow(run, schema).toDF(*own.columns, name), name
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
