@@ -13,12 +13,13 @@ at least the threshold.
 Documents with the same shingles are one node.  In a bucket every node is
 verified against one centre, drawn anew per band; a centre's set is held in a
 task while the others pass by, and a centre of very many nodes is dealt over
-salts.  Only where a bucket still holds several components are nodes of
-different components compared too.  In small buckets that is done as pairs.  The
-nodes of large buckets are grouped anew by the shingles of their prefixes: of a
-set of n shingles, rarest first, the first n - ceil(0.8 n) + 1, of which similar
-sets always share one.  Small groups make pairs, and what is left of large
-groups is compared inside tasks, block against block, which return a spanning
+salts.  In buckets where many nodes are outside of the largest component still,
+nodes are verified against CENTRES more centres of other components; if many
+stay outside, the bucket's nodes are grouped anew by the shingles of their
+prefixes (of a set of n shingles, rarest first, the first n - ceil(0.8 n) + 1,
+of which similar sets always share one).  What is left is compared exactly, the
+nodes outside of a group's largest component with all others: as pairs in small
+groups, and in others inside tasks, block against block, which return a spanning
 set of links.  So no link that a bucket proposes is lost, and all pairs of a
 large group are never made as rows.
 
@@ -50,10 +51,12 @@ from .textbuf import buffers, chunks, mix, powers, shingles, words
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
-#: Nodes of a bucket whose pairs across components are made as rows.
+#: Centres that the nodes of a bucket of several components are verified against in the second look.
+CENTRES = 4
+#: Nodes of a group whose pairs are made as rows; and nodes outside of its largest component that need no prefixes.
 SMALL = 32
 #: Nodes of a block of a larger group.
-BLOCK = 1024
+BLOCK = 256
 #: Sets that pass by one held set in a task.
 SALT_PAIRS = 4096
 #: Rows of a batch whose rows hold whole sets.
@@ -164,8 +167,16 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return rows.repartition(tasks, "held", "salt").sortWithinPartitions("held", "salt", "side").mapInArrow(run, "a long, b long")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The groups (band, key) of several components: their rows with main (the largest component), members, others (nodes outside of it)."""
+    sizes = placed.groupBy("band", "key", "component").agg(F.count("*").alias("size"))
+    tops = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("members")).where("members > top.size")
+    tops = stored(tops.select("band", "key", F.col("top.component").alias("main"), "members", (F.col("members") - F.col("top.size")).alias("others")), "mixed")
+    return stored(placed.join(tops, ["band", "key"]), "mixed")
+
+
 def _by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """band, key, members, node, n, component: nodes of several components that share a shingle of their prefixes; nodes: node, component.
+    """Groups of nodes that share a shingle of their prefixes, as `_mixed` gives them; nodes: node, component.
 
     Two sets of similarity t share one of the first n - ceil(t n) + 1 of their
     elements in any order common to all; with the rarest first few others do.
@@ -181,12 +192,22 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column("node").take(at), part.column("component").take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own).astype(np.int64))], names=["node", "component", "n", "key"])
 
     rows = stored(nodes.join(sets.withColumnRenamed("rid", "node"), "node").select("node", "component", "elements").mapInArrow(spread, "node long, component long, n long, key long"), "elements")
-    often = stored(rows.groupBy("key").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high")), "often")
+    often = stored(rows.groupBy("key").agg(F.count("*").alias("often")), "often")
     rarest = W.partitionBy("node").orderBy("often", "key")
-    first = rows.join(often.select("key", "often"), "key").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (threshold - 1e-9)) + 1)
-    first = stored(first.select("key", "node", "n", "component"), "prefixes")
-    groups = stored(first.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "members"), "groups")
-    return first.join(groups, "key").select(F.lit(-1).alias("band"), "key", "members", "node", "n", "component")
+    first = rows.join(often, "key").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (threshold - 1e-9)) + 1)
+    return _mixed(stored(first.select(F.lit(-1).alias("band"), "key", "node", "n", "component"), "prefixes"))
+
+
+def _outer_pairs(groups: DataFrame, near) -> DataFrame:
+    """a, b, held, other, salt: each node outside of its group's largest component with all of other components."""
+    outer = groups.where("component <> main").select("band", "key", F.col("node").alias("held"), F.col("n").alias("held_n"), F.col("component").alias("held_component"))
+    both = groups.join(outer, ["band", "key"]).where((F.col("component") != F.col("held_component")) & near(F.col("n"), F.col("held_n")))
+    pair = F.struct("held", F.col("node").alias("other"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / SALT_PAIRS)).cast("int").alias("salt"))
+    return both.select(F.least("held", "node").alias("a"), F.greatest("held", "node").alias("b"), pair.alias("pair"))
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.min("pair").alias("pair")).select("a", "b", "pair.*")
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -208,11 +229,10 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -
 
 
 def _blocks_compared(blocks: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join components, of sorted rows: band, key, lower, upper, side, node, component, elements."""
+    """Links (a, b) that join components, of sorted rows: band, key, i, j, side, node, component, elements."""
 
     def links(rows: list[dict]) -> Iterator[tuple[int, int]]:
-        left = [r for r in rows if r["side"] == 0]
-        right = [r for r in rows if r["side"] == 1] if rows[0]["lower"] != rows[0]["upper"] else left
+        left, right = ([r for r in rows if r["side"] == k] for k in (0, 1))
         if not left or not right:
             return
         sets = [[np.frombuffer(r["elements"], np.uint64) for r in side] for side in (left, right)]
@@ -232,7 +252,7 @@ def _blocks_compared(blocks: DataFrame, threshold: float) -> DataFrame:
                 yield int(ids[side][i]), int(root[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = ("band", "key", "lower", "upper"), []
+        key, held = ("band", "key", "i", "j"), []
 
         def flush() -> pa.RecordBatch:
             found = list(zip(*links(held))) or [(), ()]
@@ -277,7 +297,7 @@ def _classes(rows: DataFrame, unique: bool, threshold: float, size: int, bands:
     near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold  # noqa: E731  sizes that allow the similarity
     salts = F.ceil(F.col("members") / SALT_PAIRS).cast("int")
     drawn = members.where((F.col("node") != F.col("centre")) & near(F.col("n"), F.col("centre_n"))).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.struct(F.col("centre").alias("held"), F.col("node").alias("other"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt")).alias("pair"))
-    pairs = stored(drawn.groupBy("a", "b").agg(F.min("pair").alias("pair")).select("a", "b", "pair.*"), "pairs")
+    pairs = stored(_distinct_pairs(drawn), "pairs")
     # the sets of all nodes that share a bucket, from one shuffle of their texts
     chosen = stored(members.select(F.col("node").alias("rid")).distinct(), "chosen")
     sets = stored(_sets(near_keys(rows.select("rid", "text"), chosen, "rid").join(chosen.hint("merge"), "rid", "left_semi"), size), "sets")
@@ -285,34 +305,55 @@ def _classes(rows: DataFrame, unique: bool, threshold: float, size: int, bands:
         links = stored(verified(pairs, sets, threshold), "links")
     found = components(links)
 
-    # buckets that still hold several components
-    placed = members.join(found.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("band", "key", "members", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
-    placed = stored(placed.join(mixed, ["band", "key"]), "mixed")
-    few, many = placed.where(F.col("members") <= SMALL), placed.where(F.col("members") > SMALL)
-    if not many.isEmpty():
-        grouped = stored(_by_prefix(many.select("node", "component").distinct(), sets, threshold), "mixed")
-        few, many = few.unionByName(grouped.where(F.col("members") <= SMALL)), grouped.where(F.col("members") > SMALL)
-    left, right = few.alias("l"), few.alias("r")
-    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))
-    apart = left.join(right, same & (F.col("l.component") != F.col("r.component")) & near(F.col("l.n"), F.col("r.n")))
-    rest = apart.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = stored(rest.select("a", "b", F.col("a").alias("held"), F.col("b").alias("other"), F.pmod(F.xxhash64("b"), F.lit(16)).cast("int").alias("salt")), "pairs")
-    with arrow_rows(rows.sparkSession, SET_ROWS):
-        more = [stored(verified(rest, sets, threshold), "links")] if not rest.isEmpty() else []
-    if not many.isEmpty():
-        last = F.ceil(F.col("members") / BLOCK).cast("int") - 1
-        own = F.pmod(F.xxhash64("node"), last + 1).cast("int")
-        dealt = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-        dealt = dealt.select("band", "key", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component")
-        order = ["band", "key", "lower", "upper"]
-        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        blocks = dealt.join(sets.withColumnRenamed("rid", "node"), "node").select(*order, "side", "node", "component", "elements").repartition(tasks, *order).sortWithinPartitions(*order, "side")
+    def placed() -> DataFrame:
+        mine = found.withColumnRenamed("node", "member")
+        return members.join(mine, F.col("node") == F.col("member"), "left").select("band", "key", "node", "n", F.coalesce("component", "node").alias("component"))
+
+    def linked(asked: DataFrame) -> list[DataFrame]:
+        """The links among pairs that weren't asked for at first, if there are any."""
+        fresh = stored(_distinct_pairs(asked).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            return []
         with arrow_rows(rows.sparkSession, SET_ROWS):
-            more.append(stored(_blocks_compared(blocks, threshold), "links"))
-    more = [m for m in more if not m.isEmpty()]
-    if more:
-        found = components(functools.reduce(DataFrame.unionByName, more, links))
+            more = stored(verified(fresh, sets, threshold), "links")
+        return [] if more.isEmpty() else [more]
+
+    # a second look at large buckets of several components: most of their nodes have a partner near one of a few more centres
+    mixed = _mixed(placed())
+    many = mixed.where(F.col("others") > SMALL)
+    if not many.isEmpty():
+        drawn = [F.min(F.struct(F.xxhash64("node", "band", F.lit(k)).alias("draw"), "node", "n", "component")) for k in range(CENTRES)]
+        centres = many.groupBy("band", "key").agg(F.array(*drawn).alias("centres")).select("band", "key", F.explode("centres").alias("c"))
+        both = many.join(stored(centres.select("band", "key", "c.*").toDF("band", "key", "draw", "held", "held_n", "held_component").distinct(), "centres"), ["band", "key"])
+        both = both.where((F.col("component") != F.col("held_component")) & near(F.col("n"), F.col("held_n")))
+        pair = F.struct("held", F.col("node").alias("other"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / SALT_PAIRS)).cast("int").alias("salt"))
+        for more in linked(both.select(F.least("held", "node").alias("a"), F.greatest("held", "node").alias("b"), pair.alias("pair"))):
+            links = links.unionByName(more)
+            found = components(links)
+            mixed = _mixed(placed())
+    if not mixed.isEmpty():
+        few, many = mixed.where(F.col("members") <= SMALL), mixed.where(F.col("members") > SMALL)
+        vast = many.where(F.col("others") > SMALL)
+        if not vast.isEmpty():
+            grouped = _by_prefix(vast.select("node", "component").distinct(), sets, threshold)
+            few = few.unionByName(grouped.where(F.col("members") <= SMALL))
+            many = many.where(F.col("others") <= SMALL).unionByName(grouped.where(F.col("members") > SMALL))
+        more = linked(_outer_pairs(few, near))
+        if not many.isEmpty():
+            outer_blocks, blocks_ = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("others", "members"))
+            number = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+            every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+            left = many.where("component <> main").withColumn("i", number(outer_blocks)).withColumn("j", every(blocks_)).withColumn("side", F.lit(0))
+            right = many.withColumn("j", number(blocks_)).withColumn("i", every(outer_blocks)).withColumn("side", F.lit(1))
+            order = ["band", "key", "i", "j"]
+            tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            columns = [*order, "side", "node", "component"]
+            dealt = left.select(*columns).unionByName(right.select(*columns)).join(sets.withColumnRenamed("rid", "node"), "node")
+            blocks = dealt.select(*columns, "elements").repartition(tasks, *order).sortWithinPartitions(*order, "side")
+            with arrow_rows(rows.sparkSession, SET_ROWS):
+                more.append(stored(_blocks_compared(blocks, threshold), "links"))
+        if more:
+            found = components(functools.reduce(DataFrame.unionByName, more, links))
 
     named = nodes.select("set1", "set2", "n", "node").join(found.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("set1", "set2", "n", F.coalesce("component", "node").alias("class_rid"))
     judged = sigs.where("n > 0").join(named, ["set1", "set2", "n"]).select("rid", "class_rid").unionByName(sigs.where("n = 0").select("rid", F.col("rid").alias("class_rid")))
